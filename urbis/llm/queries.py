@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urbis.llm import bpe, language_id, quality_rules, url_filter
+from urbis.llm import bpe, language_id, quality_crf, quality_rules, toxicity, url_filter
 
 #: The rules of op7.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -29,10 +29,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.OrdinalModel:
+    return toxicity.train(toxicity.labelled(documents, labels, "toxic", toxicity.TRAINING_ROWS), "text", "label")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
+
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -52,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_bpe": op5_bpe,
+    "op6_quality_crf": op6_quality_crf,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
