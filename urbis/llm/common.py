@@ -182,3 +182,11 @@ def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
         return df
     share = int(rows / total * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= share).limit(4 * rows)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast only if it has at most `rows` rows; joins shuffle it otherwise.
+
+    df must be cheap to count, such as a written table.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urbis.llm import bpe, language_id, quality_crf, quality_rules, sharding, toxicity, url_filter, warc
+from urbis.llm import bpe, decontamination, language_id, near_duplicates, quality_crf, quality_rules, sharding, toxicity, url_filter, warc
 
 #: The rules of op7.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -45,6 +49,10 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.OrdinalM
     return toxicity.train(toxicity.labelled(documents, labels, "toxic", toxicity.TRAINING_ROWS), "text", "label")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
@@ -82,9 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_bpe": op5_bpe,
     "op6_quality_crf": op6_quality_crf,
     "op7_url_filter": op7_url_filter,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
