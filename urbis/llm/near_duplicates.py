@@ -150,7 +150,7 @@ def verify(sets: list[np.ndarray], weights: np.ndarray, cut: int, threshold: flo
     """
     n, rows = len(sets), cut or len(sets)
     sizes = np.array([len(s) for s in sets])
-    common = intersections(sets, cut)
+    common = intersections(sets, cut).astype(np.float64)  # single precision would lose pairs exactly at the threshold
     # |A & B| >= t |A | B|, in whole numbers of shingles
     linked = common * (1 + threshold) >= threshold * (sizes[:rows, None] + sizes[None, cut:]) - 1e-6
     if not cut:
