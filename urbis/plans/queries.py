@@ -276,9 +276,9 @@ def solid_measure(spark, sf_dir):
     return rounded(m, 4, "volume", "surface_area", "footprint_area")
 
 
-@register("SELECT feature_id AS building_id, count(*) AS n_parts, round(sum(w * d * h), 3) AS volume_m3, round(sum(2 * (w * d + w * h + d * h)), 3) AS envelope_m2, round(sum(w * d), 3) AS footprint_m2, round(max(h), 6) AS height_m, true AS is_closed, round(sum(2 * (w * d + w * h + d * h)) / nullif(sum(w * d * h), 0), 6) AS sv_ratio FROM parts GROUP BY 1")
+@register("SELECT feature_id AS building_id, count(*) AS n_parts, round(sum(w * d * h), 3) AS volume_m3, round(sum(2 * (w * d + w * h + d * h)), 3) AS envelope_m2, round(sum(w * d), 3) AS footprint_m2, round(max(h), 6) AS height_m, true AS is_closed, round(sum(2 * (w * d + w * h + d * h)) / nullif(sum(w * d * h), 0), 9) AS sv_ratio FROM parts GROUP BY 1")
 def family_measures(spark, sf_dir):
-    return rounded(rounded(rounded(energy.family_measures(energy.part_measures(city.parts(spark, sf_dir))), 3, "volume_m3", "envelope_m2", "footprint_m2"), 6, "height_m"), 6, "sv_ratio")
+    return rounded(rounded(rounded(energy.family_measures(energy.part_measures(city.parts(spark, sf_dir))), 3, "volume_m3", "envelope_m2", "footprint_m2"), 6, "height_m"), 9, "sv_ratio")
 
 
 @register("""SELECT id, i AS face_idx, CASE WHEN i = 0 THEN 'GroundSurface' WHEN i = 1 THEN 'RoofSurface' ELSE 'WallSurface' END AS semantic,
@@ -337,9 +337,11 @@ def window_join(spark, sf_dir):
 
 
 @register("""SELECT id, row_number() OVER (ORDER BY kwh DESC, id) AS rank, round(kwh, 3) AS annual_kwh FROM (
-  SELECT id, (CASE WHEN o_custkey <= 400 THEN 2.0 WHEN o_custkey <= 800 THEN 1.5 ELSE 0.3 END * roof + CASE WHEN o_custkey <= 400 THEN 2.0 WHEN o_custkey <= 800 THEN 1.6 ELSE 0.35 END * wall
-    + CASE WHEN o_custkey <= 400 THEN 1.7 WHEN o_custkey <= 800 THEN 1.7 ELSE 0.4 END * roof) * 2800 * 24.0 / 1000 AS kwh
-  FROM buildings JOIN (SELECT feature_id, sum(w * d) AS roof, sum(2 * h * (w + d)) AS wall FROM parts GROUP BY 1) a ON a.feature_id = buildings.id)""")
+  SELECT id, (u_roof * roof + u_wall * wall + u_ground * roof) * 2800::DOUBLE * 24::DOUBLE / 1000::DOUBLE AS kwh
+  FROM (SELECT *, CASE WHEN o_custkey <= 400 THEN 2::DOUBLE WHEN o_custkey <= 800 THEN 1.5::DOUBLE ELSE 0.3::DOUBLE END AS u_roof,
+          CASE WHEN o_custkey <= 400 THEN 2::DOUBLE WHEN o_custkey <= 800 THEN 1.6::DOUBLE ELSE 0.35::DOUBLE END AS u_wall,
+          CASE WHEN o_custkey <= 800 THEN 1.7::DOUBLE ELSE 0.4::DOUBLE END AS u_ground FROM buildings)
+  JOIN (SELECT feature_id AS f, round(sum(w * d), 6) AS roof, round(sum(2 * h * (w + d)), 6) AS wall FROM parts GROUP BY 1) ON f = id)""")
 def energy_screen(spark, sf_dir):
     bands = (energy.Band("old", 400, 2.0, 2.0, 1.7), energy.Band("middle", 800, 1.5, 1.6, 1.7), energy.Band("new", None, 0.3, 0.35, 0.4))
     areas = semantics.class_areas(semantics.faces(city.parts(spark, sf_dir), "geometry_lod2_2", "geometry_properties_lod2_2", ["feature_id"]), "feature_id")
