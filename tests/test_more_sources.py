@@ -101,3 +101,18 @@ def test_database_families(spark):
 def test_the_rest_imports_without_the_text_operators():
     code = "import sys, pathlib; sys.modules['urbis.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'type_window_count' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__import__("pathlib").Path(__file__).parents[1])
+
+
+def test_citygml_round_trip(spark, tmp_path):
+    from urbis.sinks import citygml as sink
+
+    (tmp_path / "a.gml").write_text(GML)
+    first = citygml.read(spark, str(tmp_path / "a.gml"))
+    for version in ("2.0", "3.0"):
+        sink.write(first.drop("attributes").withColumn("height", F.lit("9 < 10")), str(tmp_path / version), version)
+        back = {r["id"]: r for r in citygml.read(spark, f"{tmp_path / version}/part-*").collect()}
+        for row in first.collect():
+            again = back[row["id"]]
+            assert all(row[c] == again[c] for c in ("feature_id", "object_type", "parents", "children", "bbox", "geometry_lod2_0", "geometry_properties_lod2_0"))
+            assert again["attributes"] == '{"height": "9 < 10"}'
+    assert sink.nc_name("1 a") == "_1_x20_a" and sink.nc_name("b1") == "b1"
