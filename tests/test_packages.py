@@ -122,3 +122,19 @@ def test_stream(spark, sequence, tmp_path):
         stream = ingest.feature_stream(spark, str(tmp_path))
         ingest.ingest_stream(stream, data, head, kinds, levels, str(tmp_path / "ck")).awaitTermination(120)
     assert data.objects().count() == 6
+
+
+def test_accounting_and_variants(spark, sequence, tmp_path):
+    from urbis.operators import accounting
+
+    rows = cityjson.read(spark, sequence).drop("coercion_failures")
+    found = {v["variant"]: v for v in accounting.variants(rows, str(tmp_path / "v"), ["default", "plain+source"], (0, 0, 0, 99, 99, 99))}
+    assert all(v["stored_bytes"] > 0 and v["window_bytes"] > 0 and v["read_s"] > 0 for v in found.values())
+
+
+def test_explain_changes_nothing(spark, sequence, tmp_path):
+    data = lake.Catalog(spark, f"file://{tmp_path}/lake").create("city")
+    rows = cityjson.read(spark, sequence).drop("coercion_failures")
+    assert "Physical Plan" in data.explain_ingest(rows) and data.version() == 1
+    data.ingest(rows, "EPSG:7415")
+    assert "b1" in data.explain_delete("id = 'b1'") and data.objects().count() == 6

@@ -199,6 +199,16 @@ class Dataset:
 
     # Reading
 
+    def explain_delete(self, predicate: str) -> str:
+        """The plan that finds the rows a delete starts from; nothing is changed."""
+        return union_tables(self.tables()).where(predicate).select("id")._jdf.queryExecution().toString()
+
+    def explain_ingest(self, objects: DataFrame) -> str:
+        """The plan that checks new ids against the dataset's; nothing is changed."""
+        own = self.tables()
+        checked = objects.select("id").join(union_tables(own).select("id"), "id", "left_semi") if own else objects.select("id")
+        return checked._jdf.queryExecution().toString()
+
     def describe(self) -> DataFrame:
         rows = [df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, df in self.tables().items()]
         out = rows[0] if rows else self.spark.createDataFrame([], "table_name string, n_rows long")
