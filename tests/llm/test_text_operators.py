@@ -220,3 +220,8 @@ def test_url_rules(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, RULES).collect()}
     assert got == {i: brute_url(u) for i, u in enumerate(urls)} | {None: brute_url("http://a.net/x")}
     assert url_filter.judge_urls(df.where(F.lit(False)), RULES).count() == 0
+
+
+def test_letters_decide_about_und():
+    _, _, letters = language_id.characters(["🙂 12 ", "𝔘", "ªb", "퟿", "漢字 x"])
+    assert letters.tolist() == [0, 1, 2, 0, 3]
