@@ -86,9 +86,10 @@ def corpus(seed, copies):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(1024, 1_000_000), (8, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, broadcast):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", broadcast)
     rows = corpus(1, 25)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, class_id string, node int").repartition(5)
     links, tops = brute_classes(rows)
