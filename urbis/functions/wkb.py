@@ -146,6 +146,9 @@ def _closed(layout: Layout, block: np.ndarray) -> np.ndarray:
     return (forward == backward).all(axis=1) & (forward[:, 1:] != forward[:, :-1]).all(axis=1)
 
 
+# The functions below are marked non-deterministic so that a filter on their result stays above them:
+# pushed below, it would evaluate them once more.
+
 MEASURES = ddl.struct(
     "volume double, surface_area double, footprint_area double, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double, cx double, cy double, cz double, n_faces int, n_rings int, n_vertices int, is_closed boolean"
 )
@@ -207,12 +210,18 @@ def solid_measures(wkb: pa.Array) -> pa.Array:
     return _measures_array(wkb, False)
 
 
+solid_measures = solid_measures.asNondeterministic()
+
+
 @F.arrow_udf(MEASURES)
 def solid_measures_strict(wkb: pa.Array) -> pa.Array:
     """As solid_measures, but malformed input raises."""
     return _measures_array(wkb, True)
 
 
+solid_measures_strict = solid_measures_strict.asNondeterministic()
+
+
 FACE = ddl.struct("face_idx int, nx double, ny double, nz double, tilt_deg double, azimuth_deg double, area_m2 double, cx double, cy double, cz double")
 
 
@@ -270,6 +279,9 @@ def face_metrics(wkb: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(starts, flat)
 
 
+face_metrics = face_metrics.asNondeterministic()
+
+
 FACES = ddl.parse("array<array<array<struct<x: double, y: double, z: double>>>>")
 
 
@@ -286,6 +298,9 @@ def decode_faces(wkb: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])))))
 
 
+decode_faces = decode_faces.asNondeterministic()
+
+
 def encode(faces: list[list[list[tuple[float, float, float]]]], kind: int = SURFACE_Z) -> tuple[bytes, list[int]]:
     """WKB of faces (rings of points, closed here if need be), and the positions of faces dropped as degenerate.
 

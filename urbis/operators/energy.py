@@ -32,7 +32,7 @@ BANDS = (
 
 def part_measures(df: DataFrame, geometry: str = "geometry_lod2_2", part: str = "BuildingPart") -> DataFrame:
     """building_id, id and measures of every part with a solid; malformed solids are left out."""
-    parts = df.where((F.col("object_type") == part) & F.col(geometry).isNotNull())
+    parts = df.where(F.col("object_type") == part)  # parts without a solid measure as null
     measured = parts.select(F.get("parents", F.lit(0)).alias("building_id"), "id", solid_measures(F.col(geometry)).alias("m"))
     return measured.where("m IS NOT NULL").select("building_id", "id", "m.*")
 

@@ -18,7 +18,7 @@ def surface_type(properties: Column, face: Column) -> Column:
 
 def faces(df: DataFrame, geometry: str, properties: str, keep: list[str]) -> DataFrame:
     """One row per face: kept columns, face_idx, semantic, and the face's metrics."""
-    rows = df.where(F.col(geometry).isNotNull()).select(*keep, F.col(properties).alias("p"), F.explode(face_metrics(F.col(geometry))).alias("f"))
+    rows = df.select(*keep, F.col(properties).alias("p"), F.explode(face_metrics(F.col(geometry))).alias("f"))
     return rows.select(*keep, F.col("f.face_idx"), surface_type(F.col("p"), F.col("f.face_idx")).alias("semantic"), *(F.col(f"f.{c}") for c in ("nx", "ny", "nz", "tilt_deg", "azimuth_deg", "area_m2", "cx", "cy", "cz")))
 
 
