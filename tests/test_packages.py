@@ -138,3 +138,20 @@ def test_explain_changes_nothing(spark, sequence, tmp_path):
     assert "Physical Plan" in data.explain_ingest(rows) and data.version() == 1
     data.ingest(rows, "EPSG:7415")
     assert "b1" in data.explain_delete("id = 'b1'") and data.objects().count() == 6
+
+
+def test_partitioned_write(spark, sequence, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = cityjson.read(spark, sequence).drop("coercion_failures").withColumn("partition", F.concat(F.lit("p"), F.substring("feature_id", 2, 1)))
+    manifest = packages.write_partitions(rows, str(tmp_path / "parts"))
+    assert manifest["partitions"] == {"p1": 2, "p2": 2, "p3": 2} and manifest["summaries"]["city3d:object_types"] == ["Building", "BuildingPart"]
+    back = spark.read.parquet(str(tmp_path / "parts/building.parquet"))
+    assert back.where("partition = 'p2'").count() == 2 and (tmp_path / "parts/building.parquet/partition=p1").is_dir()
+
+
+def test_document(spark, tmp_path):
+    document = HEADER | {"CityObjects": {k: v for n in (1,) for k, v in feature(n)["CityObjects"].items()}, "vertices": feature(1)["vertices"]}
+    (tmp_path / "d.city.json").write_text(json.dumps(document, indent=1))
+    df = cityjson.read(spark, str(tmp_path / "d.city.json"), sequence=False)
+    assert {r["id"]: r["feature_id"] for r in df.collect()} == {"b1": "b1", "p1": "b1"}

@@ -137,3 +137,30 @@ def intern(rows: DataFrame, value: str, order: str) -> DataFrame:
 
     first = rows.groupBy(value).agg(F.min(order).alias("__first"))
     return with_ordinal(first, [F.asc("__first"), F.asc(value)]).select(value, F.col("ordinal").alias("id"))
+
+
+def write_partitions(objects: DataFrame, path: str, name: str = "packages", declared: dict | None = None) -> dict:
+    """Write rows with a `partition` label as one table a module, in a folder for each label, under a Collection.
+
+    All labels share one schema, so one write does for all of them; the Collection counts the rows of each.
+    """
+    spark = objects.sparkSession
+    parent, _, last = path.rstrip("/").rpartition("/")
+    store = Store(spark, parent)
+    if store.exists(last):
+        raise FileExistsError(path)
+    staging = f".{last}-{uuid.uuid4().hex}"
+    routed = checkpointed(prune_levels(objects.withColumn("__module", module_column(F.col("object_type"), declared))))
+    if repeated := repeated_ids(routed):
+        raise SchemaError(f"repeated ids: {repeated}")
+    for module in sorted(r[0] for r in routed.select("__module").distinct().collect()):
+        part = routed.where(F.col("__module") == module).drop("__module")
+        ordered = part.hint("rebalance", "partition").sortWithinPartitions("partition", "feature_id", "id")  # a crowded label is split
+        ordered.write.partitionBy("partition").option("compression", "zstd").parquet(f"{parent}/{staging}/{module}.parquet")
+    b = F.col("bbox")
+    counted = routed.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.collect_set("object_type").alias("t"), *(F.min(b[a]).alias(a) for a in schema.AXES[:3]), *(F.max(b[a]).alias(a) for a in schema.AXES[3:])).orderBy("partition").collect()
+    items = [{"id": r["partition"], "bbox": None if r["xmin"] is None else [r[a] for a in schema.AXES], "properties": {"city3d:object_types": sorted(r["t"]), "city3d:lods": [], "city3d:objects": r["n"]}} for r in counted]
+    manifest = collection(items, name) | {"partitions": {i["id"]: i["properties"]["city3d:objects"] for i in items}}
+    store.write(json.dumps(manifest), staging, "collection.json")
+    store.rename(store.path(staging), store.path(last))
+    return manifest
