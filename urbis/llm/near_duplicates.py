@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from urbis.llm.common import Spans, finish, persist, slices, text_bytes, word_shingles
+from urbis.llm.common import Spans, finish, persist, slices, small, text_bytes, word_shingles
 
 #: Unless a contract says otherwise: five words, similarity 0.8.
 WORDS = 5
@@ -34,6 +34,8 @@ TARGET_RECALL = 0.9999
 #: Texts that a block of a coarse group may hold.
 BLOCK = 1024
 
+#: Rows of ids (24 bytes each) up to which a table is broadcast to the texts; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: A shingle in at most this many texts of a task is counted pair by pair, others by matrix product.
 FEW = 16
 
@@ -98,15 +100,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes but the smallest of each component, for edges (a, b).
 
     Alternating large-star and small-star steps; each round is written to the shared folder, and the
-    rounds end when the edges stay the same. Work per round is linear in the edges.
+    rounds end when the edges stay the same. Work per round is linear in the edges. Each node's least
+    neighbour is written before it is joined back, so that Spark sees two plain shuffles and splits the
+    one node of a large component that most edges end in.
     """
     edges = persist(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = persist(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
+        large = persist(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
+        low = persist(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         small_star = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = persist(small_star, "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -239,8 +243,9 @@ def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRES
     coarse = components(nodes.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
 
-    known = coarse.join(texts.select("node", "n"), "node")
-    members = persist(signed.select(F.col(ROW).alias("node"), F.col(SIZE).alias("size"), F.col(text_col).cast("string").alias("text")).join(known, "node"), "near-members")
+    known = persist(coarse.join(texts.select("node", "n"), "node"), "near-known")
+    # Texts are far wider than ids: up to a checked number the candidates' ids go to the texts.
+    members = persist(signed.select(F.col(ROW).alias("node"), F.col(SIZE).alias("size"), F.col(text_col).cast("string").alias("text")).join(small(known, BROADCAST_ROWS), "node"), "near-members")
     # Blocks in order of set size, from the counts of each size in a group: no group passes through one task.
     by_size = members.groupBy("root", "size").agg(F.count(F.lit(1)).alias("alike"))
     earlier = Window.partitionBy("root").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -284,6 +289,6 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 def keep_one(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, and every row without words, with all their columns."""
     rows, texts = link_classes(df, text_col, threshold)
-    chosen = texts.where("node = root").select(F.col("node").alias("__urbis_kept"))
-    kept = rows.where(F.col(IDENTITY).isNotNull()).join(chosen, F.col(ROW) == F.col("__urbis_kept"), "left_semi")
-    return kept.unionByName(rows.where(F.col(IDENTITY).isNull())).drop(ROW, IDENTITY)
+    others = rows.select(ROW, IDENTITY).join(texts.select(IDENTITY, "root"), IDENTITY).where(F.col(ROW) != F.col("root"))
+    dropped = persist(others.select(F.col(ROW).alias("__urbis_dropped")), "near-dropped")
+    return rows.join(small(dropped, BROADCAST_ROWS), F.col(ROW) == F.col("__urbis_dropped"), "left_anti").drop(ROW, IDENTITY)
