@@ -112,9 +112,10 @@ class ShardStore:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def compact(self, schema) -> int:
+    def compact(self, schema, keep_merged: bool = True) -> int:
         """Merge each due tier from the smallest up; one commit for each merge. Returns the version.
 
+        keep_merged=False deletes the merged runs after each commit (no reader is on an older version).
         A tier's paths are listed on the driver, as Spark's own file listing does; rows are not.
         """
         for low, high in self.tiers.bounds():
@@ -129,6 +130,8 @@ class ShardStore:
                 self.spark.read.schema(schema).parquet(*due).write.option("compression", "zstd").parquet(f"{self.root}/data/{run}")
             kept = live.where(~((F.col("n_bytes") >= low) & (F.col("n_bytes") < high)))
             self._commit(kept.unionByName(self._shards(run)), base)
+            if not keep_merged:
+                self.vacuum()
         return self.version()
 
     def vacuum(self) -> int:
@@ -159,8 +162,7 @@ def shard(df: DataFrame, root: str, tiers: Tiers = Tiers(), arrivals: int = 4) -
     atomic = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
     for part in range(arrivals):
         store.append(df.where(F.pmod(F.xxhash64(*atomic) if atomic else F.lit(0), F.lit(arrivals)) == part))
-    store.compact(df.schema)
-    store.vacuum()
+    store.compact(df.schema, keep_merged=False)
     return store
 
 
