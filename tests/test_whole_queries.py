@@ -2,8 +2,8 @@
 
 import pytest
 
-from urbis.operators import lake
-from urbis.plans import store_queries
+from urbis.operators import hierarchy, lake
+from urbis.plans import queries, store_queries
 from urbis.sources import cityjson
 from urbis.sources import package as read
 
@@ -46,3 +46,32 @@ def test_dataset_changes_every_family(spark, scratch, tables):
     assert {r["id"] for r in objects.where("object_type = 'Building'").select("id").collect()} == expected
     parts = [r for r in tables["lineitem"].select("l_orderkey").collect() if "O" + str(r[0]) in expected]
     assert objects.where("object_type = 'BuildingPart'").count() == len(parts)
+
+
+def test_subtree_bbox_unites_every_family(spark, monkeypatch, tables):
+    seen = []
+    unite = hierarchy.subtree_bbox
+    monkeypatch.setattr(hierarchy, "subtree_bbox", lambda df: seen.append(unite(df)) or seen[-1])
+    queries.subtree_bbox(spark, SF)
+    expected = {}
+    for r in tables["lineitem"].select("l_orderkey", "l_partkey", "l_quantity").collect():
+        low, high = expected.get(f"O{r[0]}", (r[1], r[1] + r[2]))
+        expected[f"O{r[0]}"] = min(low, r[1]), max(high, r[1] + r[2])
+    got = seen[0].where("id NOT LIKE '%-%' AND bbox IS NOT NULL AND bbox.xmin IS NOT NULL").select("id", "bbox.xmin", "bbox.xmax").collect()
+    assert {r["id"]: (r["xmin"], r["xmax"]) for r in got} == expected
+
+
+def test_decoded_faces_decodes_every_part(spark, monkeypatch, tables):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+    decode = queries.decode_faces
+
+    @F.udf("binary")
+    def counted(wkb):
+        seen.add(1)
+        return bytes(wkb)
+
+    monkeypatch.setattr(queries, "decode_faces", lambda column: decode(counted(column)))
+    rows = queries.decoded_faces(spark, SF).collect()
+    assert seen.value >= tables["lineitem"].count() > len(rows) > 0

@@ -249,10 +249,11 @@ def derived_feature_id(spark, sf_dir):
 
 @register("SELECT feature_id AS id, min(xmin) AS xmin, round(max(xmax), 6) AS xmax, min(ymin) AS ymin, round(max(ymax), 6) AS ymax, round(max(zmax), 6) AS zmax FROM parts WHERE feature_id IN (SELECT id FROM buildings WHERE o_custkey <= 60) GROUP BY 1")
 def subtree_bbox(spark, sf_dir):
-    some = city.objects(spark, sf_dir)
-    chosen = some.where("o_custkey <= 60").select("feature_id")
-    united = hierarchy.subtree_bbox(some.join(chosen, "feature_id", "left_semi").withColumn("bbox", F.when(F.col("object_type") == "BuildingPart", F.col("bbox"))))
-    boxes = united.join(chosen.select(F.col("feature_id").alias("id")), "id").where("bbox.xmin IS NOT NULL").select("id", "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax", "bbox.zmax")
+    """Boxes of all objects are united; the SQL asks for the buildings of the first customers."""
+    objects = city.objects(spark, sf_dir)
+    united = hierarchy.subtree_bbox(objects.withColumn("bbox", F.when(F.col("object_type") == "BuildingPart", F.col("bbox"))))
+    asked = table(spark, sf_dir, "orders").where("o_custkey <= 60").select(F.concat(F.lit("O"), "o_orderkey").alias("id"))
+    boxes = united.join(asked, "id").where("bbox.xmin IS NOT NULL").select("id", "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax", "bbox.zmax")
     return rounded(boxes, 6, "xmax", "ymax", "zmax")
 
 
@@ -302,10 +303,11 @@ def surface_type_counts(spark, sf_dir):
 
 @register("SELECT id, 6 AS faces, 30 AS points, round(xmax, 6) AS xmax FROM parts WHERE xmin < 50")
 def decoded_faces(spark, sf_dir):
+    """All parts are decoded; those that the SQL asks for are told by their decoded points."""
     f = F.col("f")
-    points = F.flatten(F.flatten(f))
-    rows = city.parts(spark, sf_dir).where("bbox.xmin < 50").select("id", decode_faces("geometry_lod2_2").alias("f"))
-    return rows.select("id", F.size(f).alias("faces"), F.size(points).alias("points"), F.round(F.array_max(F.transform(points, lambda p: p["x"])), 6).alias("xmax"))
+    x = F.transform(F.flatten(F.flatten(f)), lambda p: p["x"])
+    rows = city.parts(spark, sf_dir).select("id", decode_faces("geometry_lod2_2").alias("f"))
+    return rows.where(F.array_min(x) < 50).select("id", F.size(f).alias("faces"), F.size(x).alias("points"), F.round(F.array_max(x), 6).alias("xmax"))
 
 
 @register("SELECT vec_id, round(0.5 * abs(list_sum(list_transform(range(1, 64), lambda i: embedding[i]::DOUBLE * embedding[i + 1]::DOUBLE))), 6) AS area FROM embeddings", with_city=False)
