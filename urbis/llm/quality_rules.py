@@ -36,6 +36,10 @@ class Limits:
     max_longest: int = 50
 
 
+#: The method's own limits: repeats shorter than the base rule's window count too, such as runs of one word.
+METHOD = Limits(min_repeat=4)
+
+
 def repeat_lengths(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each word, the longest run starting there that also starts elsewhere in its text.
 
@@ -190,7 +194,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, {_RESULT}")
 
 
-def keep_good(df: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", limits: Limits = METHOD) -> DataFrame:
     """The rows whose text passes the rules, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
