@@ -1,6 +1,6 @@
 """Operators decide the cases that narrower rules, seeds or tables would lose."""
 
-from urbis.llm import quality_rules
+from urbis.llm import decontamination, quality_rules
 from urbis.llm.queries import QUERIES
 
 
@@ -13,3 +13,39 @@ def test_runs_of_one_word_fail(spark, tmp_path):
     assert not any(r["base_failed"] for r in rows.values()) and rows[2]["n_repeat_words"] == 0
     assert {i: r["kept"] for i, r in rows.items()} == {1: True, 2: False, 3: True}
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {1, 3}
+
+
+def accepted(score=0, equal=0, pattern=""):
+    """All patterns up to the tenth equal token of a stretch that best_stretch accepts (1: equal, 0: substituted)."""
+    if equal == 10:
+        yield pattern
+        return
+    yield from accepted(score + 1, equal + 1, pattern + "1")
+    if score > decontamination.MISMATCH:
+        yield from accepted(score - decontamination.MISMATCH, equal, pattern + "0")
+
+
+def test_every_accepted_pattern_has_a_seed(spark):
+    whole = [p for n in (10, 12, 14, 15) for p in ("1" * n, "11111001111111"[:n])]
+    periodic = [(p * 60)[:60] for p in ("1110", "1101110", "1111100", "11111100", "110")]
+    patterns = sorted({*accepted(), *whole, *periodic, "111110011111"})
+    items = [(k, " ".join(f"t{k}x{j}" for j in range(len(p)))) for k, p in enumerate(patterns)]
+    docs = [(k, " ".join(["before"] + [f"t{k}x{j}" if c == "1" else f"s{k}x{j}" for j, c in enumerate(p)] + ["after"])) for k, p in enumerate(patterns)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.query(documents, benchmark).collect()}
+
+    def best(p):
+        score = equal = top = found = 0
+        for c in p:
+            if c == "1":
+                score, equal = score + 1, equal + 1
+                if score >= top:
+                    top, found = score, equal
+            else:
+                score, equal = (score - 2, equal) if score > 2 else (0, 0)
+        return found
+
+    expected = {(k, k) for k, p in enumerate(patterns) if best(p) >= 10}
+    assert len([p for p in patterns if len(p) == 60 and best(p) >= 10]) >= 4 and len(expected) > 30
+    assert got == expected, sorted(patterns[k] for k, _ in expected - got)

@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A seed is a mask over SPAN consecutive tokens that ignores some positions, so a window still matches
-after a substitution there. All windows of the documents are hashed under each mask and joined with the
+A seed is a mask over consecutive tokens that ignores some positions, so a window still matches after a
+substitution there. The masks lose nothing: a stretch that verification accepts starts with 10 equal tokens
+among which substitutions take fewer than half as many places from any start on (its score stays positive);
+there are 143 such patterns, and each holds a window of one of the masks. All windows of the documents are hashed under each mask and joined with the
 benchmark's; a hit fixes the alignment (diagonal) of a document and an item. Every diagonal is verified
 on the tokens: the best-scoring stretch (a match counts 1, a mismatch -MISMATCH) must hold enough equal
 tokens. Tokens are runs of letters and digits, lower-cased.
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 
 from urbis.llm.common import persist, small
 
-#: Positions of a window that each mask compares.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
-SPAN = 7
+#: Positions of a window that each mask compares. Together they find every pattern of 10 equal tokens that
+#: best_stretch accepts at MISMATCH; a test enumerates them.
+MASKS = ((0, 1, 2, 4, 6), (0, 1, 2, 4, 7))
+#: Tokens of the shortest mask; shorter items are sought whole.
+SPAN = min(mask[-1] for mask in MASKS) + 1
 MISMATCH = 2
 #: Items with fewer tokens are no evidence and are left out.
 LEAST_ITEM = 5
@@ -40,13 +44,17 @@ def tokens(text: Column) -> Column:
 
 
 def windows(h: Column, masks: list[tuple[int, ...]], span: int) -> Column:
-    """Hashes of all windows of an array of token hashes; entry k belongs to position k div M, mask k mod M."""
+    """Hashes of all windows of an array of token hashes; entry k belongs to position k div M, mask k mod M.
+
+    span: tokens of the shortest mask. Entries of a longer mask that would pass the end are null.
+    """
     count = F.size(h) - span + 1
     m = len(masks)
 
     def hashed(k: Column) -> Column:
         at = F.floor(k / m).cast("int") if m > 1 else k
         each = [F.xxhash64(F.lit(f"{span}:{i}"), *(F.get(h, at + p) for p in mask)) for i, mask in enumerate(masks)]
+        each = [F.when(at + mask[-1] < F.size(h), e) if mask[-1] >= span else e for e, mask in zip(each, masks, strict=True)]
         out = each[-1]
         for i in range(m - 2, -1, -1):
             out = F.when(k % m == i, each[i]).otherwise(out)
