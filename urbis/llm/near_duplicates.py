@@ -1,9 +1,9 @@
-"""N-gram Jaccard join with an LSH forest, and the classes of documents it links.
+"""N-gram Jaccard join by MinHash banding, and the classes of documents it links.
 
 Texts are sets of word shingles. Equal texts are collapsed first. Each remaining text has a MinHash
-signature that is read as TREES label paths of prefix tries; a trie node at some depth holds the texts
-that share that prefix. Starting from the longest prefixes, the matched depth is shortened until the
-chance to meet, 1 - (1 - s**depth)**TREES, reaches the target recall at the threshold s.
+signature that is read as TREES label paths; a node holds the texts that share a path's first labels. Their
+number is worked out once, from the constants: the longest at which the chance to meet,
+1 - (1 - s**depth)**TREES, reaches the target recall at the threshold s. No trie of other depths is stored.
 
 A node joins its texts to its smallest one, never in pairs; the coarse groups (connected components of
 those edges) hold all candidates. Groups are cut into blocks of at most BLOCK texts, ordered by set
