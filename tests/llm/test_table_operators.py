@@ -109,9 +109,9 @@ def test_near_duplicates_odd_rows(spark):
 
 
 def test_forest_depth_reaches_the_recall():
-    depth = near_duplicates.matched_depth()
-    assert 1 - (1 - 0.8**depth) ** near_duplicates.TREES >= near_duplicates.TARGET_RECALL
-    assert near_duplicates.matched_depth(0.8, 0.5) > depth
+    depth = near_duplicates.last_level()
+    assert near_duplicates.chance(0.8, depth) >= near_duplicates.TARGET_RECALL > near_duplicates.chance(0.8, depth + 1)
+    assert near_duplicates.last_level(0.8, 0.99) > depth > near_duplicates.last_level(0.5)
 
 
 def test_intersections_both_ways():

@@ -44,7 +44,15 @@ def persist(df: DataFrame, purpose: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._urbis_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that persist() wrote; no query that is still to run may read them."""
+    for df in tables:
+        remove(df.sparkSession, df._urbis_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,15 +1,19 @@
-"""N-gram Jaccard join by MinHash banding, and the classes of documents it links.
-
-Texts are sets of word shingles. Equal texts are collapsed first. Each remaining text has a MinHash
-signature that is read as TREES label paths; a node holds the texts that share a path's first labels. Their
-number is worked out once, from the constants: the longest at which the chance to meet,
-1 - (1 - s**depth)**TREES, reaches the target recall at the threshold s. No trie of other depths is stored.
-
-A node joins its texts to its smallest one, never in pairs; the coarse groups (connected components of
-those edges) hold all candidates. Groups are cut into blocks of at most BLOCK texts, ordered by set
-size, and every two blocks whose sizes allow the threshold meet in one task, which verifies all their
-pairs exactly (sparse incidence products over shared shingles), counts each text's links and returns a
-spanning forest of them. The exact classes are the components of these forests.
+"""N-gram Jaccard join by a MinHash LSH forest, and the classes of documents it links.
+
+Texts are sets of word shingles. Equal texts are collapsed first. Each other text has a MinHash signature
+of TREES paths of DEPTH labels; a tree is the table of its paths in sorted order, where a prefix is a run
+of neighbouring rows and a trie node. Levels go from the deepest prefix to shorter ones. At a level, every
+trie node that branches there joins its texts, and all its pairs that share no longer prefix in any tree
+and no such prefix in an earlier tree are verified exactly, so each pair is verified once in the forest.
+
+Prefixes are shortened adaptively. A link of similarity s is found at level d with chance
+1 - (1 - s**d)**TREES, so the exact similarities of a text's links tell how many it still lacks. A text
+whose expected share of found links has reached the target recall opens no more nodes; a text without links
+goes on to the level at which even links at the threshold are found with the target's chance.
+
+A node's texts are dealt to blocks bounded in bytes and in texts. Blocks are verified against themselves
+where they are packed, and pairs of blocks of one crowded node in tasks of their own, by sparse incidence
+products; only sums for each text and a spanning forest of the links leave a task.
 """
 
 from __future__ import annotations
@@ -21,33 +25,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from urbis.llm.common import Spans, finish, persist, slices, small, text_bytes, word_shingles
+from urbis.llm.common import Spans, discard, finish, persist, slices, small, text_bytes, word_shingles
 
 #: Unless a contract says otherwise: five words, similarity 0.8.
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 32
-MAX_DEPTH = 8
+#: Labels of a path; a label is a byte, so a path is a 64-bit number.
+DEPTH = 8
 TARGET_RECALL = 0.9999
-#: Texts that a block of a coarse group may hold.
-BLOCK = 1024
+#: Texts and shingles (8 bytes each) of a block of a crowded trie node; a longer text is a block of its own.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
 
 #: Rows of ids (24 bytes each) up to which a table is broadcast to the texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: A shingle in at most this many texts of a task is counted pair by pair, others by matrix product.
 FEW = 16
+#: Pairs whose paths are compared at once.
+PAIRS_AT_ONCE = 1 << 15
 
 _RNG = np.random.default_rng(1618)
-_MULTIPLY = _RNG.integers(1, 2**63, (TREES, MAX_DEPTH), dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, (TREES, MAX_DEPTH), dtype=np.uint64)
+_MULTIPLY = _RNG.integers(1, 2**32, (TREES, DEPTH), dtype=np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, (TREES, DEPTH), dtype=np.uint32)
 
 
-def matched_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> int:
-    """The longest prefix at which two texts of similarity `threshold` meet in some tree with chance `target`."""
-    depth = MAX_DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """That two texts of this similarity share a prefix of `depth` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def last_level(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that texts of similarity `threshold` share in some tree with chance `target`."""
+    depth = DEPTH
+    while depth > 1 and chance(threshold, depth) < target:
         depth -= 1
     return depth
 
@@ -79,21 +91,23 @@ def shingle_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.n
     return shingles, np.searchsorted(text, np.arange(len(n_words) + 1)), identity
 
 
-def tree_keys(shingles: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """Key of each text's trie node at `depth` in each tree (texts x TREES): its path of MinHash labels.
+def tree_paths(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Path of each text in each tree (texts x TREES), its first label in the top byte.
 
-    Every tree has label functions of its own. Rows of empty sets are meaningless.
+    A label is a byte of the least of the shingles' 32-bit hashes; every label has a hash function of its
+    own. Rows of empty sets are meaningless.
     """
     some = np.flatnonzero(np.diff(bounds))
-    keys = np.zeros((len(bounds) - 1, TREES), np.uint64)
+    paths = np.zeros((len(bounds) - 1, TREES), np.uint64)
     starts = bounds[:-1][some]
+    halves = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     for tree in range(TREES if len(some) else 0):
-        key = np.full(len(some), tree + 1, np.uint64)
-        for level in range(depth):
-            label = np.minimum.reduceat((shingles * _MULTIPLY[tree, level] + _ADD[tree, level]) >> np.uint64(32), starts)
-            key = finish(key * np.uint64(0x9E3779B97F4A7C15) + label)
-        keys[some, tree] = key
-    return keys.view(np.int64)
+        path = np.zeros(len(some), np.uint64)
+        for level in range(DEPTH):
+            least = np.minimum.reduceat(halves[level % 2] * _MULTIPLY[tree, level] + _ADD[tree, level], starts)
+            path = path << np.uint64(8) | finish(least.astype(np.uint64) + np.uint64(DEPTH * tree + level + 1)) >> np.uint64(56)
+        paths[some, tree] = path
+    return paths.view(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -102,7 +116,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each round is written to the shared folder, and the
     rounds end when the edges stay the same. Work per round is linear in the edges. Each node's least
     neighbour is written before it is joined back, so that Spark sees two plain shuffles and splits the
-    one node of a large component that most edges end in.
+    one node of a large component that most edges end in. A round's tables go when the next one is written.
     """
     edges = persist(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
@@ -112,7 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = persist(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
         low = persist(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         small_star = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = persist(small_star, "components")
+        after = persist(small_star, "components")
+        discard(edges, least, large, low)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -147,70 +163,186 @@ def intersections(sets: list[np.ndarray], cut: int) -> np.ndarray:
     return common
 
 
-def verify(sets: list[np.ndarray], weights: np.ndarray, cut: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Exact links between sets[:cut] and sets[cut:], or among all sets if cut is 0.
+class Block:
+    """Texts of a trie node: node ids, rows with each text, whether each still seeks links, paths and shingle sets."""
+
+    def __init__(self, nodes: np.ndarray, weights: np.ndarray, seeking: np.ndarray, paths: np.ndarray, sets: list[np.ndarray]):
+        self.nodes, self.weights, self.seeking, self.paths, self.sets = nodes, weights, seeking, paths, sets
+
+    def pack(self) -> bytes:
+        sizes = np.array([len(self.nodes), *map(len, self.sets)], np.int64)
+        return b"".join(np.ascontiguousarray(a).tobytes() for a in (sizes, self.nodes, self.weights, self.seeking.astype(np.int64), self.paths, *self.sets))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        words = np.frombuffer(data, np.int64)
+        n = int(words[0])
+        sizes, at = words[1 : n + 1], n + 1
+        nodes, weights, seeking = (words[at + k * n : at + (k + 1) * n] for k in range(3))
+        at += 3 * n
+        paths, at = words[at : at + n * TREES].view(np.uint64).reshape(n, TREES), at + n * TREES
+        return cls(nodes, weights, seeking > 0, paths, np.split(words[at:].view(np.uint64), np.cumsum(sizes)[:-1]))
+
+    def __add__(self, other: Block) -> Block:
+        return Block(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("nodes", "weights", "seeking", "paths")), [*self.sets, *other.sets])
+
 
-    Returns the weight of each set's partners, and a spanning forest of the links.
+def verify(block: Block, cut: int, tree: int, level: int, least: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact links between the texts before `cut` and from it on (all pairs if cut is 0) that belong to this tree and level.
+
+    Returns each text's linked rows, the links it is expected to lack for each found one at each of the
+    levels least..DEPTH, and for each text the first text of its component here.
     """
-    n, rows = len(sets), cut or len(sets)
-    sizes = np.array([len(s) for s in sets])
-    common = intersections(sets, cut).astype(np.float64)  # single precision would lose pairs exactly at the threshold
+    n, rows = len(block.nodes), cut or len(block.nodes)
+    sizes = np.array([len(s) for s in block.sets])
+    common = intersections(block.sets, cut).astype(np.float64)  # single precision would lose pairs exactly at the threshold
     # |A & B| >= t |A | B|, in whole numbers of shingles
     linked = common * (1 + threshold) >= threshold * (sizes[:rows, None] + sizes[None, cut:]) - 1e-6
     if not cut:
-        np.fill_diagonal(linked, False)
-    total = np.zeros(n)
-    total[:rows] += linked @ weights[cut:]
-    if cut:
-        total[cut:] += weights[:cut] @ linked
-    parent, forest = list(range(n)), []
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i in np.flatnonzero(linked.any(axis=1)).tolist():
-        partners = np.flatnonzero(linked[i]) + cut
-        if not cut:
-            partners = partners[partners < i]
-        for j in partners.tolist():
-            a, b = top(i), top(j)
-            if a != b:
-                parent[a] = b
-                forest.append((i, j))
-    return total.astype(np.int64), forest
-
-
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, node, n, text) sorted by task -> (node, other, links): forest edges, and links with other null."""
-
-    def done(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[0])
-        shingles, bounds, _ = shingle_sets(pa.array([r[3] for r in rows], pa.large_string()), width)
-        sets = [shingles[a:b] for a, b in zip(bounds, bounds[1:])]
-        cut = sum(r[0] == 0 for r in rows) if rows[-1][0] else 0
-        total, forest = verify(sets, np.array([r[2] for r in rows], np.float64), cut, threshold)
-        ids = np.array([r[1] for r in rows], np.int64)
-        some = np.flatnonzero(total)
-        a, b = (np.array([f[k] for f in forest], np.int64) for k in (0, 1))
-        other = np.concatenate([np.full(len(some), -1), ids[b]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[a]])), pa.array(other, mask=other < 0), pa.array(np.concatenate([total[some], np.zeros(len(a), np.int64)]))], ["node", "other", "links"])
-
-    task, rows = None, []
+        linked = np.triu(linked, 1)
+    first, second = np.nonzero(linked)
+    same = common[first, second]
+    second = second + cut
+    keep = np.zeros(len(first), bool)
+    for k in range(0, len(first), PAIRS_AT_ONCE):
+        i, j = first[k : k + PAIRS_AT_ONCE], second[k : k + PAIRS_AT_ONCE]
+        apart = block.paths[i] ^ block.paths[j]
+        met = apart >> np.uint64(8 * (DEPTH - level)) == 0
+        good = met[:, tree] & ~met[:, :tree].any(axis=1)
+        if level < DEPTH:
+            good &= ~(apart >> np.uint64(8 * (DEPTH - level - 1)) == 0).any(axis=1)
+        keep[k : k + PAIRS_AT_ONCE] = good
+    keep &= block.seeking[first] | block.seeking[second]
+    first, second, same = first[keep], second[keep], same[keep]
+    likeness = same / (sizes[first] + sizes[second] - same)
+    ends, theirs = np.concatenate([first, second]), block.weights[np.concatenate([second, first])]
+    total = np.bincount(ends, theirs, minlength=n).astype(np.int64)
+    lack = np.zeros((n, DEPTH - least + 1))
+    for k in range(DEPTH - least + 1):
+        each = 1 / chance(likeness, least + k) - 1
+        lack[:, k] = np.bincount(ends, theirs * np.concatenate([each, each]), minlength=n)
+    label = np.arange(n)
+    while len(first):
+        low = np.minimum(label[first], label[second])
+        before = label.copy()
+        np.minimum.at(label, before[first], low)
+        np.minimum.at(label, before[second], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return total, lack, label
+
+
+RESULT = "node long, other long, links long, lack array<double>"
+
+
+def _rows(block: Block, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple]:
+    """Rows of RESULT: the sums of each linked text, and an edge to the first text of its component."""
+    total, lack, label = found
+    some, moved = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(label)))
+    out = [(i, None, t, row) for i, t, row in zip(block.nodes[some].tolist(), total[some].tolist(), lack[some].tolist(), strict=True)]
+    return out + [(i, o, 0, None) for i, o in zip(block.nodes[moved].tolist(), block.nodes[label[moved]].tolist(), strict=True)]
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+_PACKED = ["node", "other", "links", "lack", "task", "tree", "piece", "block"]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (task, part, tree, blocks, node, n, seeking, paths, shingles) sorted by task and part -> results, and blocks of crowded nodes."""
+    key, held, filled, piece = None, [], 0, 0
+
+    def done() -> list[tuple]:
+        block = Block(*(np.array([h[k] for h in held], np.int64) for k in (0, 1, 2)), np.stack([h[3] for h in held]), [h[4] for h in held])
+        block.seeking = block.seeking > 0
+        out = [(*r, None, None, None, None) for r in _rows(block, verify(block, 0, key[2], level, least, threshold))] if len(held) > 1 else []
+        if key[3] > 1:
+            out.append((None, None, None, None, key[0], key[2], key[1] << 32 | piece, block.pack()))
+        return out
+
+    types = [*_TYPES, pa.int64(), pa.int32(), pa.int64(), pa.large_binary()]
     for batch in batches:
-        for t, side, i, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != task:
-                if len(rows) > 1:
-                    yield done(rows)
-                task, rows = t, []
-            rows.append((side, i, n, text))
-    if len(rows) > 1:
-        yield done(rows)
-
-
-ROW, IDENTITY, KEYS, SIZE = "__urbis_row", "__urbis_identity", "__urbis_keys", "__urbis_size"
+        out: list[tuple] = []
+        columns = [c.to_pylist() for c in batch.columns[:7]]
+        for k, (*now, node, n, seeking) in enumerate(zip(*columns, strict=True)):
+            paths, shingles = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (7, 8))
+            new = key is not None and key != now
+            if held and (new or (key[3] > 1 and (len(held) >= BLOCK or filled + len(shingles) > BLOCK_SHINGLES))):
+                out += done()
+                held, filled, piece = [], 0, piece + 1
+            if new:
+                piece = 0
+            key = now
+            held.append((node, n, seeking, paths, shingles))
+            filled += len(shingles)
+            if len(out) > 10_000 or any(r[7] is not None for r in out):
+                yield _batch(out, _PACKED, types)
+                out = []
+        if out:
+            yield _batch(out, _PACKED, types)
+    if held:
+        out = done()
+        if out:
+            yield _batch(out, _PACKED, types)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, block, other block) -> results over the pairs between the two."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            tree, x, y = batch.column(0)[k].as_py(), *(Block.unpack(batch.column(c)[k].as_buffer()) for c in (1, 2))
+            both = x + y
+            out = _rows(both, verify(both, len(x.nodes), tree, level, least, threshold))
+            if out:
+                yield _batch(out, _PACKED[:4], _TYPES)
+
+
+ROW, IDENTITY, PATHS, SIZE = "__urbis_row", "__urbis_identity", "__urbis_paths", "__urbis_size"
+
+
+def _level(forest: DataFrame, sets: DataFrame, satisfied: DataFrame | None, level: int, least: int, threshold: float) -> DataFrame | None:
+    """Results of a level of the forest (a written table), or None if no node is opened."""
+    spark = forest.sparkSession
+    prefix = F.shiftrightunsigned("path", 8 * (DEPTH - level))
+    child = F.shiftrightunsigned("path", 8 * max(DEPTH - level - 1, 0))
+    rows = forest.select("tree", "node", "size", prefix.alias("prefix"), child.alias("child"))
+    if satisfied is not None:
+        rows = rows.join(small(satisfied.withColumn("quiet", F.lit(1)), BROADCAST_ROWS), "node", "left").withColumn("seeking", F.col("quiet").isNull().cast("int")).drop("quiet")
+    else:
+        rows = rows.withColumn("seeking", F.lit(1))
+    nodes = rows.groupBy("tree", "prefix").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("node").alias("least"),
+        F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.hash("node")).alias("mark2"),
+        F.max("seeking").alias("seeking"), (F.min("child") != F.max("child")).alias("branches"),
+    ).where("n > 1 AND seeking = 1")
+    if level < DEPTH:  # where all texts go on to one child, all pairs share a longer prefix
+        nodes = nodes.where("branches")
+    # Nodes with the same texts: the one of the earliest tree verifies all their pairs.
+    nodes = nodes.groupBy("n", "least", "mark", "mark2").agg(F.min(F.struct("tree", "prefix")).alias("at"), F.min("shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK)).cast("int")
+    nodes = persist(nodes.select("at.tree", "at.prefix", blocks.alias("blocks")), "near-nodes")
+    if nodes.isEmpty():
+        discard(nodes)
+        return None
+    dealt = rows.join(nodes, ["tree", "prefix"]).select(F.xxhash64("tree", "prefix").alias("task"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part"), "tree", "blocks", "node", "seeking")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = dealt.join(sets, "node").select("task", "part", "tree", "blocks", "node", "n", "seeking", "paths", "shingles").repartition(spread, "task", "part").sortWithinPartitions("task", "part", "tree", "blocks")
+    found = persist(tasks.mapInArrow(lambda b: _pack(b, level, least, threshold), f"{RESULT}, task long, tree int, piece long, block binary"), "near-level")
+    results = found.where("block IS NULL").select("node", "other", "links", "lack")
+    crowded = found.where("block IS NOT NULL").select("task", "tree", "piece", "block")
+    if not crowded.isEmpty():
+        x, y = crowded.select("task", "tree", F.col("piece").alias("one")), crowded.select("task", F.col("piece").alias("two"))
+        pairs = x.join(y, "task").where("one < two")
+        pairs = pairs.join(crowded.select("task", F.col("piece").alias("one"), F.col("block").alias("x")), ["task", "one"])
+        pairs = pairs.join(crowded.select("task", F.col("piece").alias("two"), F.col("block").alias("y")), ["task", "two"])
+        met = pairs.select("tree", "x", "y").repartition(spread).mapInArrow(lambda b: _meet(b, level, least, threshold), RESULT)
+        results = results.unionByName(persist(met, "near-meetings"))
+    discard(nodes)
+    return results
 
 
 def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -220,54 +352,62 @@ def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRES
 
     Both are written tables. Rows with equal word sequences share an identity; texts without words are in
     no class. A third of all rows may be copies of one text, or one class: equal texts are collapsed by a
-    partial aggregate, and no group of near copies passes through one task.
+    partial aggregate, and the texts of a crowded trie node are dealt to blocks.
     """
-    depth = matched_depth(threshold, target)
+    least = last_level(threshold, target)
     source = df.withColumn(ROW, F.monotonically_increasing_id())
     names = [f.name for f in source.schema]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             shingles, bounds, identity = shingle_sets(part.column(names.index(text_col)), width)
-            sizes = np.diff(bounds)
-            keys = tree_keys(shingles, bounds, depth)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(identity.view(np.int64), mask=sizes == 0), pa.array(sizes.astype(np.int64)), lists], [*names, IDENTITY, SIZE, KEYS])
+            sizes, paths = np.diff(bounds), tree_paths(shingles, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, paths.size + 1, TREES, dtype=np.int32)), pa.array(paths.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(identity.view(np.int64), mask=sizes == 0), pa.array(sizes.astype(np.int64)), lists], [*names, IDENTITY, SIZE, PATHS])
 
-    schema = T.StructType([*source.schema.fields, T.StructField(IDENTITY, T.LongType()), T.StructField(SIZE, T.LongType()), T.StructField(KEYS, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*source.schema.fields, T.StructField(IDENTITY, T.LongType()), T.StructField(SIZE, T.LongType()), T.StructField(PATHS, T.ArrayType(T.LongType()))])
     signed = persist(source.mapInArrow(sign, schema), "near-signed")
 
     texts = persist(signed.where(F.col(IDENTITY).isNotNull()).groupBy(IDENTITY).agg(F.min(ROW).alias("node"), F.count(F.lit(1)).alias("n")), "near-texts")
-    nodes = signed.select(F.col(ROW).alias("node"), KEYS).join(texts.select("node"), "node", "left_semi").select("node", F.explode(KEYS).alias("key"))
-    heads = nodes.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head")
-    coarse = components(nodes.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-
-    known = persist(coarse.join(texts.select("node", "n"), "node"), "near-known")
+    paths = signed.select(F.col(ROW).alias("node"), F.col(SIZE).alias("size"), PATHS).join(texts.select("node"), "node", "left_semi").select("node", "size", F.posexplode(PATHS).alias("tree", "path"))
+    # Only texts that meet another at the shortest prefix of all can meet any; the sorted tables hold these.
+    shortest = F.shiftrightunsigned("path", 8 * (DEPTH - least)).alias("shortest")
+    shared = paths.groupBy("tree", shortest).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tree", "shortest")
+    meeting = paths.withColumn("shortest", shortest).join(shared, ["tree", "shortest"]).select("tree", "path", "node", "size")
+    forest = persist(meeting.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node"), "near-forest")
+
+    known = persist(forest.select("node").distinct().join(texts, "node").select("node", "n"), "near-known")
     # Texts are far wider than ids: up to a checked number the candidates' ids go to the texts.
-    members = persist(signed.select(F.col(ROW).alias("node"), F.col(SIZE).alias("size"), F.col(text_col).cast("string").alias("text")).join(small(known, BROADCAST_ROWS), "node"), "near-members")
-    # Blocks in order of set size, from the counts of each size in a group: no group passes through one task.
-    by_size = members.groupBy("root", "size").agg(F.count(F.lit(1)).alias("alike"))
-    earlier = Window.partitionBy("root").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = by_size.withColumn("before", F.coalesce(F.sum("alike").over(earlier), F.lit(0)))
-    block = F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("alike"))) / BLOCK).alias("block")
-    blocked = persist(members.select("node", "size", "root").join(placed, ["root", "size"]).select("node", "root", "size", block), "near-blocks")
-    ranges = blocked.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    x, y = ranges.alias("x"), ranges.alias("y")
-    meet = x.join(y, F.col("x.root") == F.col("y.root")).where("x.block <= y.block").where(F.col("y.low") * threshold <= F.col("x.high"))
-    meet = persist(meet.select("x.root", F.col("x.block").alias("first"), F.col("y.block").alias("second")), "near-meetings")
-    task = F.xxhash64("root", "first", "second").alias("task")
-    sides = meet.select("root", F.col("first").alias("block"), task, F.lit(0).alias("side")).unionByName(meet.where("first <> second").select("root", F.col("second").alias("block"), task, F.lit(1).alias("side")))
-    dealt = blocked.select("node", "root", "block").join(sides, ["root", "block"]).select("task", "side", "node")
-    tasks = members.select("node", "n", "text").join(dealt, "node").select("task", "side", "node", "n", "text")
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    checked = persist(tasks.repartition(spread, "task").sortWithinPartitions("task").mapInArrow(lambda b: _verified(b, threshold, width), "node long, other long, links long"), "near-links")
-
-    roots = components(checked.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "root")
-    links = checked.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    members = signed.select(F.col(ROW).alias("node"), F.col(text_col).cast("string").alias("text"), PATHS).join(small(known, BROADCAST_ROWS), "node").select("node", "n", PATHS, "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            shingles, bounds, _ = shingle_sets(part.column(3), width)
+            sets = pa.array([shingles[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.large_binary())
+            flat = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in flat], pa.binary()), sets], ["node", "n", "paths", "shingles"])
+
+    sets = persist(members.mapInArrow(shingled, "node long, n long, paths binary, shingles binary"), "near-sets")
+
+    results, satisfied = None, None
+    for level in range(DEPTH, least - 1, -1):
+        found = _level(forest, sets, satisfied, level, least, threshold)
+        if found is not None:
+            results = found if results is None else results.unionByName(found)
+        if level > least and results is not None:
+            lack = F.get("lack", F.lit(level - least))
+            sums = results.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("k"), F.sum(lack).alias("lack"))
+            satisfied = persist(sums.where(F.col("lack") <= (1 - target) * (F.col("k") + F.col("lack"))).select("node"), "near-satisfied")
+    empty = "SELECT cast(null as bigint) AS node, cast(null as bigint) AS other, 0L AS links WHERE false"
+    results = results.select("node", "other", "links") if results is not None else df.sparkSession.sql(empty)
+
+    roots = components(results.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "root")
+    links = results.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     found = texts.join(links, "node", "left").join(roots, "node", "left")
     found = found.select(IDENTITY, "node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
-    return signed.drop(KEYS, SIZE), persist(found, "near-classes")
+    classes = persist(found, "near-classes")
+    discard(forest, known, sets)
+    return signed.drop(PATHS, SIZE), classes
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
