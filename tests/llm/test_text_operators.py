@@ -107,6 +107,17 @@ def test_bpe_equals_the_library():
         assert str(decoded[i]) == reference.decode(expected, skip_special_tokens=False) == coder.decode(expected)
 
 
+def test_bpe_equals_the_library_for_every_code_point():
+    path, reference = tokenizer()
+    coder = bpe.load(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 50_000):
+        texts = [f"1{chr(c)}b{chr(c)} {chr(c)}!a{chr(c)}\u0323\u0301" for c in points[start : start + 50_000]]
+        ids, bounds, _ = coder.encode_batch(texts)
+        expected = reference.encode_batch(texts, add_special_tokens=False)
+        assert [c for k, c in enumerate(points[start : start + 50_000]) if ids[bounds[k] : bounds[k + 1]].tolist() != expected[k].ids] == []
+
+
 def test_bpe_compatibility_is_exact():
     path, _ = tokenizer()
     coder, rnd = bpe.load(path), random.Random(6)

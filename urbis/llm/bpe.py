@@ -16,7 +16,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +37,53 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
-def _plane_zero(pattern: str) -> str:
-    """The pattern for the standard re module, its property classes spelt out for code points below 0x10000."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(0x10000)]
-    spaces = {c for c in range(0x10000) if chr(c).isspace() and not 0x1C <= c <= 0x1F}
-    for name, member in ((r"\p{L}", lambda c: kinds[c] == "L"), (r"\p{N}", lambda c: kinds[c] == "N"), (r"\s", spaces.__contains__)):
-        text, start = "", None
-        for c in range(0x10001):
-            inside = c < 0x10000 and member(c)
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                text, start = text + f"\\u{start:04x}-\\u{c - 1:04x}", None
+# Code points that the tokenizers library holds for letters or numbers, and capitals that it
+# lower-cases, although Unicode 15.1 (the installed Python's tables) has not assigned them.
+_LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_LATER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+_LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+# Marks that the library's canonical composition, of an older Unicode version, neither reorders nor composes.
+_LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+
+_MARKS = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER_MARKS) + "])")
+_LATER = re.compile("[" + "".join(map(chr, _LATER_CAPITALS)) + "]")
+
+
+def composed(text: str) -> str:
+    """Canonical composition as the library does it: marks that it does not know stand as they are and part the text."""
+    if _MARKS.search(text):
+        return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARKS.split(text)))
+    return unicodedata.normalize("NFC", text)
+
+
+def _kinds() -> str:
+    """A letter for each code point: L letters, N numbers, S white space, - others; as the tokenizers library has them."""
+    kinds = [k if (k := unicodedata.category(chr(c))[0]) in "LN" else "-" for c in range(0x110000)]
+    for k, ranges in (("L", _LATER_LETTERS), ("N", _LATER_NUMBERS)):
+        for low, high in ranges:
+            kinds[low : high + 1] = k * (high + 1 - low)
+    for c in range(0x10000):
+        if chr(c).isspace() and not 0x1C <= c <= 0x1F:
+            kinds[c] = "S"
+    return "".join(kinds)
+
+
+def _spelt(pattern: str, kinds: str) -> str:
+    """The pattern with its property classes spelt out as the ranges of the code points in `kinds`."""
+    for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "S")):
+        text = "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{kind}+", kinds))
         pattern = pattern.replace(f"[{name}]", f"[{text}]").replace(name, text)
     return pattern
 
@@ -86,9 +120,9 @@ class WordBpe:
         self.letters = byte_letters()
         self.byte_map = {b: ord(c) for b, c in enumerate(self.letters)}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
-        self.quick = re.compile(_plane_zero(split))
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        kinds = _kinds()
+        self.split, self.quick = re.compile(_spelt(split, kinds)), re.compile(_spelt(split, kinds[:0x10000]))  # quick: no code point beyond the BMP
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._tables(size)
         self._restart()
 
@@ -276,7 +310,9 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
+            text = composed(text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
+            if _LATER.search(text):
+                text = text.translate(_LATER_CAPITALS)
             text = text.lower()
             if len(text.encode("utf-16-le")) > 2 * len(text):
                 return self.split.findall(text)
