@@ -137,16 +137,58 @@ def test_bpe_odd_rows(spark):
     assert bpe.encode(empty(spark), path).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_exact():
-    text = "abracadabra cadabra abra"
-    key, (first, last), letters = language_id.characters([text, "", None, "12"])
-    assert letters.tolist() == [22, 0, 0, 0] and (last - first).tolist()[1:] == [0, 0, 0]
-    grams, counts = np.unique(key[first[0] : last[0]], return_counts=True)
-    model = language_id.KneserNey(grams, counts)
-    alphabet = sorted(set((grams & 0xFFFF).tolist()))
-    for gram in grams.tolist():
-        total = model.prob(np.array([(gram >> 16 << 16) | a for a in alphabet])).sum()
-        assert total + model.floor * np.prod([c.values[c.find(np.array([(gram & ((1 << (16 * (k + 1))) - 1)) >> 16]))][0] for k, (_, c) in enumerate(model.levels)]) == pytest.approx(1)
+def padded(text):
+    """A text's characters as the model sees them: three spaces before, runs of non-letters one space."""
+    w = re.findall(r"[a-z]+", text.lower())
+    return "   " + "".join(f"{x} " for x in w) if w else ""
+
+
+class BruteKneserNey:
+    """Interpolated Kneser-Ney of order 4 in plain dictionaries, straight from its definition."""
+
+    def __init__(self, texts):
+        count = [collections.Counter() for _ in range(5)]
+        for t in map(padded, texts):
+            count[4].update(t[k - 3 : k + 1] for k in range(3, len(t)))
+        for order in (3, 2, 1):
+            count[order].update(g[1:] for g in count[order + 1])
+        self.count, self.discounts = count, {}
+        for order in (1, 2, 3, 4):
+            ones, twos = (sum(n == k for n in count[order].values()) for k in (1, 2))
+            self.discounts[order] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def prob(self, gram):
+        order = len(gram)
+        if not order:
+            return 1 / (len(self.count[1]) + 1)
+        after = {g: n for g, n in self.count[order].items() if g[:-1] == gram[:-1]}
+        lower = self.prob(gram[1:])
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(self.count[order][gram] - self.discounts[order], 0) / total * (gram in after) + self.discounts[order] * len(after) / total * lower
+
+
+@pytest.mark.parametrize("shard_grams", [1_000_000, 150])
+def test_language_equals_brute_force(spark, monkeypatch, shard_grams):
+    monkeypatch.setattr(language_id, "SHARD_GRAMS", shard_grams)
+    rnd = random.Random(8)
+    letters = {"aa": "abcdeabcd e", "bb": "abcxyzxyz y", "cc": "efghij efgh"}
+    train = [(k, "".join(rnd.choice(letters[g]) for _ in range(rnd.randint(1, 60))), g) for k, g in enumerate(sorted(letters) * 12)]
+    model = language_id.train(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    assert (model.shards > 1) == (shard_grams == 150)
+    brute = {g: BruteKneserNey([t for _, t, h in train if h == g]) for g in letters}
+    texts = [t for _, t, _ in train[:9]] + ["zebra, fig", "a", "jjj 12 ??", "", None, "12"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r for r in language_id.identify(rows, model).collect()}
+    for k, text in enumerate(texts):
+        t = padded(text or "")
+        if not t:
+            assert (got[k]["lang_pred"], got[k]["score"], got[k]["cross_entropy"]) == ("und", 0.0, None)
+            continue
+        bits = {g: -sum(np.log2(m.prob(t[i - 3 : i + 1])) for i in range(3, len(t))) / (len(t) - 3) for g, m in brute.items()}
+        assert got[k]["cross_entropy"] == pytest.approx(min(bits.values()), abs=1e-6)
+        assert bits[got[k]["lang_pred"]] == pytest.approx(min(bits.values()), abs=1e-6)
 
 
 def test_language_held_out_accuracy(spark):

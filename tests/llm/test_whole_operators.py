@@ -1,6 +1,5 @@
 """Operators decide the cases that narrower rules, seeds or tables would lose."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from urbis.llm import decontamination, language_id, quality_rules
@@ -54,29 +53,22 @@ def test_every_accepted_pattern_has_a_seed(spark):
     assert got == expected, sorted(patterns[k] for k, _ in expected - got)
 
 
-def test_language_model_keeps_every_count(spark):
-    """More 4-grams than the eight millions where counts used to be cut, nearly all of them a large language's."""
-    rows, letters = 2_100_000, "abcdefghijklmnopqrstuvwxyz"
-    big = spark.range(rows).select(F.lit("big").alias("lang"), (F.col("id") * 4).alias("k")).select("lang", F.explode(F.sequence("k", F.col("k") + 3)).alias("ngram"), F.lit(1).cast("long").alias("n"))
+def test_language_model_keeps_every_count(spark, monkeypatch):
+    """More 4-grams than a shard holds, nearly all of them a large language's: every one is in just one shard."""
+    rows, letters = 60_000, "abcdefghijklmnopqrstuvwxyz"
+    big = spark.range(rows).select(F.lit("big").alias("lang"), (F.col("id") * 65_537).alias("ngram"), F.lit(1).cast("long").alias("n"))
     texts = ["".join(letters[(7 * i + j * j) % 26] for j in range(12)) for i in range(8)]
     rare = spark.createDataFrame([(t, "rare") for t in texts], "text string, lang string")
     counts = language_id.count_ngrams(rare, "text", "lang")
     want = {r["ngram"]: r["n"] for r in counts.collect()}
-    seen = {}
-
-    class Kept:
-        def __init__(self, tables):
-            seen.update(tables)
-
-        def calibrate(self, *_):
-            pass
-
-    real = language_id.count_ngrams, language_id.Identifier
-    try:
-        language_id.count_ngrams = lambda *_: counts.unionByName(big)
-        language_id.Identifier = Kept
-        language_id.train(rare.withColumn("doc_id", F.lit(1)))
-    finally:
-        language_id.count_ngrams, language_id.Identifier = real
-    assert len(seen["big"][0]) == 4 * rows and np.all(seen["big"][1] == 1)
-    assert dict(zip(*map(np.ndarray.tolist, seen["rare"]), strict=True)) == want
+    monkeypatch.setattr(language_id, "SHARD_GRAMS", 20_000)
+    monkeypatch.setattr(language_id, "count_ngrams", lambda *_: counts.unionByName(big))
+    monkeypatch.setattr(language_id.Model, "calibrate", lambda *_: None)
+    model = language_id.train(rare.withColumn("doc_id", F.lit(1)))
+    assert model.shards == 4 and model.langs == ["big", "rare"]
+    seen = []
+    for k in range(model.shards):
+        table = model.shard(k).table.keys
+        assert len(table) < 40_000
+        seen.extend(table.tolist())
+    assert len(seen) == len(set(seen)) and set(seen) == {i * 65_537 for i in range(rows)} | set(want)
