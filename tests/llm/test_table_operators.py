@@ -54,7 +54,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def brute_classes(rows):
+def brute_classes(rows, threshold=0.8):
     sets, links, parent = [shingles(t) for _, t in rows], collections.Counter(), list(range(len(rows)))
 
     def top(x):
@@ -64,7 +64,7 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
                 links[i] += 1
                 links[j] += 1
                 a, b = sorted((top(i), top(j)))
@@ -99,6 +99,40 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, broadcast)
     assert kept.columns == df.columns and kept.count() == len(set(tops))
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8, 0.9, 1.0])
+def test_near_duplicates_at_other_thresholds(spark, threshold):
+    rows = corpus(7, 12)
+    links, tops = brute_classes(rows, threshold)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.join(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold).collect()}
+    assert got == {i: (rows[tops[i]][0], links[i]) for i in range(len(rows))}
+
+
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """600 pairs of similarity exactly 0.8 (36 of 45 shingles): all links, or nearly all, are found."""
+    rnd, rows = random.Random(4), []
+    for k in range(600):
+        base = [f"w{k}x{j}" for j in range(40)]  # 36 shingles, extended by 9 more on one side
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"v{k}x{rnd.random()}x{j}" for j in range(9)]))]
+    got = near_duplicates.join(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_links = 1 AND class_id = doc_id - doc_id % 2").count()
+    assert got >= 0.995 * 1200
+
+
+def test_texts_with_enough_links_open_no_more_nodes(spark, monkeypatch):
+    """Texts whose links are all very similar stop at the deepest level; a text without links goes on to the last."""
+    seen, level = [], near_duplicates._level
+
+    def noted(forest, sets, satisfied, *rest):
+        seen.append({r["node"] for r in satisfied.collect()} if satisfied is not None else set())
+        return level(forest, sets, satisfied, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_level", noted)
+    base = [f"w{j}" for j in range(400)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(6)] + [(6, " ".join(base[:330] + [f"z{j}" for j in range(70)]))]
+    found = near_duplicates.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["n_links"] for r in found) == [0, 5, 5, 5, 5, 5, 5]
+    assert len(seen) == len(near_duplicates.levels()) and [len(s) for s in seen] == [0, 6]
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "a b"), (2, "a b"), (3, "a  b"), (None, "a b"), (4, "c"), (5, "long " * 20_000), (6, "long " * 20_001), (7, " \n")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

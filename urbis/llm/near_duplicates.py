@@ -39,6 +39,9 @@ TARGET_RECALL = 0.9999
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 18
 
+#: Labels by which a level's prefix is shorter than that of the level before.
+STEP = 2
+
 #: Rows of ids (24 bytes each) up to which a table is broadcast to the texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: A shingle in at most this many texts of a task is counted pair by pair, others by matrix product.
@@ -64,6 +67,12 @@ def last_level(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> i
     return depth
 
 
+def levels(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> list[int]:
+    """Lengths of the prefixes, from the whole path down to last_level()."""
+    least = last_level(threshold, target)
+    return [*range(DEPTH, least, -STEP), least]
+
+
 def shingle_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, the n + 1 bounds of each text's, and a 64-bit hash of each text's words.
 
@@ -187,10 +196,10 @@ class Block:
         return Block(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("nodes", "weights", "seeking", "paths")), [*self.sets, *other.sets])
 
 
-def verify(block: Block, cut: int, tree: int, level: int, least: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def verify(block: Block, cut: int, tree: int, level: int, above: int | None, least: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact links between the texts before `cut` and from it on (all pairs if cut is 0) that belong to this tree and level.
 
-    Returns each text's linked rows, the links it is expected to lack for each found one at each of the
+    above: the level before. Returns each text's linked rows, the links it is expected to lack for each found one at each of the
     levels least..DEPTH, and for each text the first text of its component here.
     """
     n, rows = len(block.nodes), cut or len(block.nodes)
@@ -209,8 +218,8 @@ def verify(block: Block, cut: int, tree: int, level: int, least: int, threshold:
         apart = block.paths[i] ^ block.paths[j]
         met = apart >> np.uint64(8 * (DEPTH - level)) == 0
         good = met[:, tree] & ~met[:, :tree].any(axis=1)
-        if level < DEPTH:
-            good &= ~(apart >> np.uint64(8 * (DEPTH - level - 1)) == 0).any(axis=1)
+        if above:
+            good &= ~(apart >> np.uint64(8 * (DEPTH - above)) == 0).any(axis=1)
         keep[k : k + PAIRS_AT_ONCE] = good
     keep &= block.seeking[first] | block.seeking[second]
     first, second, same = first[keep], second[keep], same[keep]
@@ -252,14 +261,14 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
 _PACKED = ["node", "other", "links", "lack", "task", "tree", "piece", "block"]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], level: int, above: int | None, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (task, part, tree, blocks, node, n, seeking, paths, shingles) sorted by task and part -> results, and blocks of crowded nodes."""
     key, held, filled, piece = None, [], 0, 0
 
     def done() -> list[tuple]:
         block = Block(*(np.array([h[k] for h in held], np.int64) for k in (0, 1, 2)), np.stack([h[3] for h in held]), [h[4] for h in held])
         block.seeking = block.seeking > 0
-        out = [(*r, None, None, None, None) for r in _rows(block, verify(block, 0, key[2], level, least, threshold))] if len(held) > 1 else []
+        out = [(*r, None, None, None, None) for r in _rows(block, verify(block, 0, key[2], level, above, least, threshold))] if len(held) > 1 else []
         if key[3] > 1:
             out.append((None, None, None, None, key[0], key[2], key[1] << 32 | piece, block.pack()))
         return out
@@ -290,13 +299,13 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold:
             yield _batch(out, _PACKED, types)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], level: int, above: int | None, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (tree, block, other block) -> results over the pairs between the two."""
     for batch in batches:
         for k in range(batch.num_rows):
             tree, x, y = batch.column(0)[k].as_py(), *(Block.unpack(batch.column(c)[k].as_buffer()) for c in (1, 2))
             both = x + y
-            out = _rows(both, verify(both, len(x.nodes), tree, level, least, threshold))
+            out = _rows(both, verify(both, len(x.nodes), tree, level, above, least, threshold))
             if out:
                 yield _batch(out, _PACKED[:4], _TYPES)
 
@@ -304,11 +313,11 @@ def _meet(batches: Iterator[pa.RecordBatch], level: int, least: int, threshold:
 ROW, IDENTITY, PATHS, SIZE = "__urbis_row", "__urbis_identity", "__urbis_paths", "__urbis_size"
 
 
-def _level(forest: DataFrame, sets: DataFrame, satisfied: DataFrame | None, level: int, least: int, threshold: float) -> DataFrame | None:
-    """Results of a level of the forest (a written table), or None if no node is opened."""
+def _level(forest: DataFrame, sets: DataFrame, satisfied: DataFrame | None, opened: DataFrame | None, level: int, above: int | None, least: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Results of a level of the forest and the nodes opened for it (written tables), or None if no node is opened."""
     spark = forest.sparkSession
     prefix = F.shiftrightunsigned("path", 8 * (DEPTH - level))
-    child = F.shiftrightunsigned("path", 8 * max(DEPTH - level - 1, 0))
+    child = F.shiftrightunsigned("path", 8 * (DEPTH - (above or level)))
     rows = forest.select("tree", "node", "size", prefix.alias("prefix"), child.alias("child"))
     if satisfied is not None:
         rows = rows.join(small(satisfied.withColumn("quiet", F.lit(1)), BROADCAST_ROWS), "node", "left").withColumn("seeking", F.col("quiet").isNull().cast("int")).drop("quiet")
@@ -319,19 +328,22 @@ def _level(forest: DataFrame, sets: DataFrame, satisfied: DataFrame | None, leve
         F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.hash("node")).alias("mark2"),
         F.max("seeking").alias("seeking"), (F.min("child") != F.max("child")).alias("branches"),
     ).where("n > 1 AND seeking = 1")
-    if level < DEPTH:  # where all texts go on to one child, all pairs share a longer prefix
+    if above:  # where all texts go on to one child, all pairs share a longer prefix
         nodes = nodes.where("branches")
-    # Nodes with the same texts: the one of the earliest tree verifies all their pairs.
-    nodes = nodes.groupBy("n", "least", "mark", "mark2").agg(F.min(F.struct("tree", "prefix")).alias("at"), F.min("shingles").alias("shingles"))
+    # Nodes with the same texts: the one of the earliest tree verifies all their pairs, at their deepest level.
+    same = ["n", "least", "mark", "mark2"]
+    nodes = nodes.groupBy(same).agg(F.min(F.struct("tree", "prefix")).alias("at"), F.min("shingles").alias("shingles"))
+    if opened is not None:
+        nodes = nodes.join(opened.select(same), same, "left_anti")
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK)).cast("int")
-    nodes = persist(nodes.select("at.tree", "at.prefix", blocks.alias("blocks")), "near-nodes")
+    nodes = persist(nodes.select("at.tree", "at.prefix", blocks.alias("blocks"), *same), "near-nodes")
     if nodes.isEmpty():
         discard(nodes)
         return None
-    dealt = rows.join(nodes, ["tree", "prefix"]).select(F.xxhash64("tree", "prefix").alias("task"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part"), "tree", "blocks", "node", "seeking")
+    dealt = rows.join(nodes.select("tree", "prefix", "blocks"), ["tree", "prefix"]).select(F.xxhash64("tree", "prefix").alias("task"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part"), "tree", "blocks", "node", "seeking")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = dealt.join(sets, "node").select("task", "part", "tree", "blocks", "node", "n", "seeking", "paths", "shingles").repartition(spread, "task", "part").sortWithinPartitions("task", "part", "tree", "blocks")
-    found = persist(tasks.mapInArrow(lambda b: _pack(b, level, least, threshold), f"{RESULT}, task long, tree int, piece long, block binary"), "near-level")
+    found = persist(tasks.mapInArrow(lambda b: _pack(b, level, above, least, threshold), f"{RESULT}, task long, tree int, piece long, block binary"), "near-level")
     results = found.where("block IS NULL").select("node", "other", "links", "lack")
     crowded = found.where("block IS NOT NULL").select("task", "tree", "piece", "block")
     if not crowded.isEmpty():
@@ -339,10 +351,9 @@ def _level(forest: DataFrame, sets: DataFrame, satisfied: DataFrame | None, leve
         pairs = x.join(y, "task").where("one < two")
         pairs = pairs.join(crowded.select("task", F.col("piece").alias("one"), F.col("block").alias("x")), ["task", "one"])
         pairs = pairs.join(crowded.select("task", F.col("piece").alias("two"), F.col("block").alias("y")), ["task", "two"])
-        met = pairs.select("tree", "x", "y").repartition(spread).mapInArrow(lambda b: _meet(b, level, least, threshold), RESULT)
+        met = pairs.select("tree", "x", "y").repartition(spread).mapInArrow(lambda b: _meet(b, level, above, least, threshold), RESULT)
         results = results.unionByName(persist(met, "near-meetings"))
-    discard(nodes)
-    return results
+    return results, nodes
 
 
 def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +365,8 @@ def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRES
     no class. A third of all rows may be copies of one text, or one class: equal texts are collapsed by a
     partial aggregate, and the texts of a crowded trie node are dealt to blocks.
     """
-    least = last_level(threshold, target)
+    steps = levels(threshold, target)
+    least = steps[-1]
     source = df.withColumn(ROW, F.monotonically_increasing_id())
     names = [f.name for f in source.schema]
 
@@ -389,11 +401,11 @@ def link_classes(df: DataFrame, text_col: str = "text", threshold: float = THRES
 
     sets = persist(members.mapInArrow(shingled, "node long, n long, paths binary, shingles binary"), "near-sets")
 
-    results, satisfied = None, None
-    for level in range(DEPTH, least - 1, -1):
-        found = _level(forest, sets, satisfied, level, least, threshold)
+    results = satisfied = opened = None
+    for above, level in zip([None, *steps], steps):
+        found = _level(forest, sets, satisfied, opened, level, above, least, threshold)
         if found is not None:
-            results = found if results is None else results.unionByName(found)
+            results, opened = found if results is None else (results.unionByName(found[0]), opened.unionByName(found[1]))
         if level > least and results is not None:
             lack = F.get("lack", F.lit(level - least))
             sums = results.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("k"), F.sum(lack).alias("lack"))
