@@ -38,7 +38,7 @@ def test_warc_seeks_single_records(spark):
     assert index.count() == 10 and index.select("frame").distinct().count() > 1
     (record,) = warc.lookup(index, [9])
     assert record.payload == b"q" * 700_000 and record.headers["WARC-Target-URI"] == "http://g"
-    assert {r["payload"] for r in warc.read(spark, index, payloads=True).where("record_id = 4").collect()} == {LONG.encode()}
+    assert {r["payload"] for r in warc.read(spark, index, payloads=True).where("record_id = '4'").collect()} == {LONG.encode()}
     import io
 
     import zstandard
@@ -49,6 +49,24 @@ def test_warc_seeks_single_records(spark):
     assert content.startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_ids_of_any_type(spark, monkeypatch):
+    rows = [("a/b", "u", LONG), ("ü %", "v", LONG), ("", None, "x"), (None, None, "y"), ("z", "w", "q" * 3_000_000)]
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.query(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {"a/b": ("revisit", "ü %"), "ü %": ("response", None), "": ("response", None), None: ("response", None), "z": ("response", None)}
+
+
+def test_warc_is_read_by_many_tasks(spark, monkeypatch):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = spark.range(400, numPartitions=partitions).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 200).alias("html"))
+    index = warc.write(some, shared_dir(spark, "warc-tasks"))
+    assert index.select("bundle").distinct().count() == partitions
+    tasks = warc.read(spark, index).select(F.spark_partition_id().alias("task"), "record_id")
+    assert tasks.select("task").distinct().count() == partitions and tasks.select("record_id").distinct().count() == 400
+    monkeypatch.setattr(warc, "TASK_BYTES", 256 << 10)  # several tasks a bundle
+    assert warc.read(spark, index).select(F.spark_partition_id().alias("task")).distinct().count() > partitions
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())

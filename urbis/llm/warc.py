@@ -17,20 +17,27 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from urbis.llm.common import persist, shared_dir
+from urbis.llm.common import persist, shared_dir, small
 
 #: Payloads from this size are stored once.
 LEAST_BYTES = 1000
 #: Content of a frame, and of a bundle, after which the next one begins (a larger record stands alone).
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 512 << 20
+#: Content of the frames that a reading task takes, and the most tasks that read (each then takes several ranges).
+TASK_BYTES = 32 << 20
+MOST_TASKS = 50_000
+#: Digests of repeated payloads (some 100 bytes each) up to which they are broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
@@ -132,43 +139,49 @@ def parse(content: bytes) -> Iterator[Record]:
 
 
 def record_urn(record_id: object) -> str:
-    return f"<urn:page:{'' if record_id is None else record_id}>"
+    """The id as text in a URN; a null id has no third part."""
+    return "<urn:page>" if record_id is None else f"<urn:page:{quote(str(record_id), safe='')}>"
 
 
-def _urn_id(urn: str | None) -> int | None:
-    text = "" if urn is None else urn[len("<urn:page:") : -1]
-    return int(text) if text else None
+def _urn_id(urn: str | None) -> str | None:
+    return None if urn is None or urn == "<urn:page>" else unquote(urn[len("<urn:page:") : -1])
 
 
 def choose_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """Columns id, url, payload, digest, size and refers_to (null: response).
+    """Columns id (of its own type), url, payload (empty for revisits), digest, size, again and refers_to (null: response).
 
-    Rows get a tag and are written once, so that ties between repeated rows (equal id and payload) are
-    broken by the tag: exactly one row of equal payloads is the response. The largest row of each digest
-    is found by a partial aggregate and joined back on the digest alone; Spark splits a skewed digest.
+    Only digests, ids and urls are shuffled: partial aggregates find the digests that occur again and the
+    largest (id, url) of each, and these go to the pages, up to BROADCAST_ROWS of them by broadcast. Rows
+    that equal the largest one in id, url and payload cannot be told apart; their number is known, and one
+    of them is the response.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    tagged = persist(
-        pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-        .withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "tag": F.monotonically_increasing_id()}),
-        "warc-pages",
-    )
-    top = (
-        tagged.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max(F.struct("id", "tag")).alias("top"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", F.col("top.id").alias("top_id"), F.col("top.tag").alias("top_tag"))
-    )
-    other = F.col("top_tag").isNotNull() & (F.col("tag") != F.col("top_tag"))
-    return tagged.join(top, "digest", "left").select("id", "url", "payload", "digest", "size", other.alias("again"), F.when(other, F.col("top_id")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    alike = rows.where(F.col("size") >= LEAST_BYTES).groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("n"))
+    tops = alike.groupBy("digest").agg(F.max(F.struct("id", "url", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1").select("digest", "top")
+    tops = persist(tops, "warc-repeated")
+    joined = rows.join(small(tops, BROADCAST_ROWS), "digest", "left")
+    largest = F.col("top").isNotNull() & F.col("id").eqNullSafe(F.col("top.id")) & F.col("url").eqNullSafe(F.col("top.url"))
+    again, none = F.col("top").isNotNull() & ~largest, F.lit(b"")
+    columns = ["id", "url", F.when(F.col("again"), none).otherwise(F.col("payload")).alias("payload"), "digest", "size", "again", F.when(F.col("again"), F.col("top.id")).alias("refers_to")]
+    out = joined.withColumn("again", again).select(*columns, (largest & (F.col("top.n") > 1)).alias("several"))
+    if tops.where("top.n > 1").isEmpty():
+        return out.drop("several")
+    equal = out.where("several").groupBy("id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    each = equal.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("again", F.col("k") > 1)
+    each = each.select("id", "url", F.when(F.col("again"), none).otherwise(F.col("payload")).alias("payload"), "digest", "size", "again", F.when(F.col("again"), F.col("id")).alias("refers_to"))
+    return out.where("NOT coalesce(several, false)").drop("several").unionByName(each)
 
 
 def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write bundles below `target` (a path that all executors reach) and return the committed index.
 
-    Index: record_id, bundle (path), frame, offset, length; one row per input row. Null payloads are
-    empty ones, null ids stay null, other columns are ignored; an empty table gives an empty index.
+    Index: record_id (the id as text), bundle (path), frame, offset, length; one row per input row. Ids may
+    be of any atomic type. Null payloads are empty ones, null ids stay null, a record larger than a frame or a
+    bundle has one of its own, other columns are ignored; an empty table gives an empty index.
     """
-    spark = pages.sparkSession
-    rows = choose_roles(pages, id_col, url_col, payload_col)
+    rows = choose_roles(pages, id_col, url_col, payload_col).withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _open(target)
@@ -178,7 +191,7 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
         def done() -> pa.RecordBatch:
             writer.close()
             ids, frames, offsets, lengths = zip(*places, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"{target}/{name}"] * len(ids)), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["record_id", "bundle", "frame", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([f"{target}/{name}"] * len(ids)), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["record_id", "bundle", "frame", "offset", "length"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -194,22 +207,27 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
         if writer is not None:
             yield done()
 
-    index = rows.mapInArrow(run, "record_id long, bundle string, frame int, offset long, length long")
+    index = rows.mapInArrow(run, "record_id string, bundle string, frame int, offset long, length long")
     return persist(index, "warc-index")
 
 
 def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records of the index's bundles: record_id, payload_bytes, payload_digest, record_type, refers_to.
+    """All records of the index's bundles: record_id, payload_bytes, payload_digest, record_type, refers_to (ids as text).
 
-    Each task reads whole bundles frame by frame; digests and lengths of stored payloads are verified.
+    A task reads neighbouring frames of about TASK_BYTES content through the seek table, so a large bundle
+    is read by several tasks; digests and lengths of stored payloads are verified.
     payloads: also return the stored payload (binary, null for revisits).
     """
-    bundles = index.select("bundle").distinct()
-    bundles = bundles.repartition(max(bundles.count(), 1), "bundle")
-
-    def rows(path: str) -> Iterator[tuple]:
+    frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("bundle").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = frames.withColumn("part", F.floor(before / TASK_BYTES)).groupBy("bundle", "part").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    ranges = persist(ranges.select("bundle", "first", "last"), "warc-ranges")
+    # By range, so that equal shares go to the tasks and no exchange on the bundle can stand in for it.
+    dealt = ranges.repartitionByRange(max(1, min(ranges.count(), MOST_TASKS)), "bundle", "first")
+
+    def rows(path: str, first: int, last: int) -> Iterator[tuple]:
         reader = BundleReader(path)
-        for number in range(len(reader.frames)):
+        for number in range(first, last + 1):
             for record in parse(reader.frame(number)):
                 h = record.headers
                 digest, size = base64.b32decode(h["WARC-Payload-Digest"][5:]).hex(), int(h["WARC-Payload-Length"])
@@ -218,7 +236,7 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
                     raise ValueError(f"{path}: damaged record {h['WARC-Record-ID']}")
                 yield _urn_id(h["WARC-Record-ID"]), size, digest, h["WARC-Type"], _urn_id(h.get("WARC-Refers-To")), record.payload if stored and payloads else None
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     names = ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +244,9 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part: list[tuple] = []
-                for row in rows(path):
+                for row in rows(*place):
                     part.append(row)
                     if len(part) == (256 if payloads else 10_000):
                         yield out(part)
@@ -236,18 +254,18 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
                 if part:
                     yield out(part)
 
-    found = bundles.mapInArrow(run, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    found = dealt.mapInArrow(run, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     return found if payloads else found.drop("payload")
 
 
-def lookup(index: DataFrame, record_ids: Iterable[int]) -> list[Record]:
+def lookup(index: DataFrame, record_ids: Iterable[object]) -> list[Record]:
     """The records of a few ids, one frame read for each."""
-    found = index.where(F.col("record_id").isin(list(record_ids))).collect()
+    found = index.where(F.col("record_id").isin([str(i) for i in record_ids])).collect()
     return [BundleReader(r["bundle"]).record(r["frame"], r["offset"], r["length"]) for r in found]
 
 
 def query(pages: DataFrame) -> DataFrame:
     """Write all pages and read the archives back."""
-    spark = pages.sparkSession
-    index = write(pages, shared_dir(spark, "warc"))
-    return read(spark, index).withColumnRenamed("record_id", "page_id")
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
+    found = read(spark, write(pages, shared_dir(spark, "warc")))
+    return found.withColumns({"record_id": F.col("record_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).withColumnRenamed("record_id", "page_id")
