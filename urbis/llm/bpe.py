@@ -58,14 +58,25 @@ _LATER_MARKS = (
 )
 
 _MARKS = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER_MARKS) + "])")
-_LATER = re.compile("[" + "".join(map(chr, _LATER_CAPITALS)) + "]")
+#: Code points with rules of their own; few texts hold one.
+_RARE = np.zeros(0x110000, bool)
+_RARE[list(_LATER_CAPITALS)] = True
+for _low, _high in _LATER_MARKS:
+    _RARE[_low : _high + 1] = True
 
 
 def composed(text: str) -> str:
     """Canonical composition as the library does it: marks that it does not know stand as they are and part the text."""
-    if _MARKS.search(text):
-        return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARKS.split(text)))
-    return unicodedata.normalize("NFC", text)
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARKS.split(text)))
+
+
+def normal(text: str) -> str:
+    """Composed and lower-cased as the library does it: letter by letter, so without a final sigma."""
+    if _RARE[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].any():
+        text = composed(text).translate(_LATER_CAPITALS)
+    else:
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()
 
 
 def _kinds() -> str:
@@ -310,10 +321,7 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = composed(text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
-            if _LATER.search(text):
-                text = text.translate(_LATER_CAPITALS)
-            text = text.lower()
+            text = normal(text)
             if len(text.encode("utf-16-le")) > 2 * len(text):
                 return self.split.findall(text)
             return self.quick.findall(text)
