@@ -176,7 +176,7 @@ def test_intersections_both_ways():
 
 
 def tokens(text):
-    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return re.findall(r"[\u4e00-\u9fff]|[^\W_\u4e00-\u9fff]+", (text or "").lower())
 
 
 def brute_overlap(h, item):
@@ -209,10 +209,12 @@ def test_decontamination_equals_brute_force(spark):
             rows.append((len(rows), " ".join(pad[:20]) + ", " + " ".join(w).upper() + "! " + " ".join(pad[20:])))
         rows.append((len(rows), " ".join(item[: len(item) // 2])))
     rows += [(None, rows[0][1]), (900, None), (901, ""), (902, "clean " * 30_000)]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, item_id string, h int")
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "")], "item_id bigint, text string")
+    rows += [(903, " ".join(items[5])), (904, "她说：" + "今天天气很好我们去公园散步吧" + "，然后走了"), (905, "今天天气很糟")]
+    items.append(list("今天天气很好我们去公园散步吧"))
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id bigint, text string, item_id string, h int, contaminated int")
+    bench = spark.createDataFrame([(k, ("" if len(w[0]) == 1 else " ").join(w)) for k, w in enumerate(items)] + [(90, None), (91, "")], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontamination.query(docs, bench).collect()}
-    expected = {(i, k): m for i, t in rows for k, item in enumerate(items) if len(item) >= 5 and (m := brute_overlap(tokens(t), tokens(" ".join(item)))) >= min(len(item), 10)}
+    expected = {(i, k): m for i, t in rows for k, item in enumerate(items) if (len(item) >= 5 or tokens(t) == item) and (m := brute_overlap(tokens(t), tokens(" ".join(item)))) >= min(len(item), 10)}
     assert set(got) <= set(expected) and all(expected[key] == m for key, m in got.items())
     missed = set(expected) - set(got)
     assert not missed, missed
@@ -221,6 +223,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.query(docs, bench.where("false")).count() == 0 and decontamination.query(docs.where("false"), bench).count() == 0
 
 
+def test_repetitive_text_has_few_hits_and_all_diagonals(spark):
+    """Runs of periods 1, 2 and 3 in documents and items: the same best overlaps as brute force, from few hits."""
+    runs = ["ha " * 300, "x y " + "ha " * 40 + "z " * 9, "do re " * 60, "do re mi " * 30 + "fa so", "q r s t u " + "do re " * 20]
+    rows = [(k, t) for k, t in enumerate([*runs, runs[1] + runs[3], "ha do " * 30 + runs[4]])]
+    bench = [(k, t) for k, t in enumerate(["ha " * 20, "x y " + "ha " * 12, "do re " * 12, "mi do re " * 5 + "fa", "t u do re do re do re do re", "ha z ha z ha z ha z ha z"])]
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontamination.query(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    expected = {(i, k): m for i, t in rows for k, item in bench if (m := brute_overlap(tokens(t), tokens(item))) >= min(len(tokens(item)), 10)}
+    assert got == expected and len(expected) > 10
+    long = spark.range(1).select(decontamination.tokens(F.lit("same " * 20_000)).alias("h")).select(decontamination.windows(F.col("h"), [*decontamination.MASKS]).alias("ws"))
+    edges = long.select(F.explode(decontamination.periodic(F.col("ws"), len(decontamination.MASKS))).alias("e")).where("e.period = 0").count()
+    assert edges == len(decontamination.MASKS)  # only the first window of each mask meets all of an item's
+
+
 def test_sharding_keeps_every_row(spark):
     tiers = sharding.Tiers(target_bytes=60_000, fan_in=2, least_bytes=2_000)
     df = spark.createDataFrame([(i % 50 if i % 9 else None, f"{i} " * (i % 200), {"a": i}, "s", "r") for i in range(900)], "doc_id bigint, text string, m map<string,int>, shard string, run string").repartition(6)

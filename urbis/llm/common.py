@@ -61,6 +61,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
