@@ -238,19 +238,45 @@ def test_repetitive_text_has_few_hits_and_all_diagonals(spark):
 
 def test_sharding_keeps_every_row(spark):
     tiers = sharding.Tiers(target_bytes=60_000, fan_in=2, least_bytes=2_000)
-    df = spark.createDataFrame([(i % 50 if i % 9 else None, f"{i} " * (i % 200), {"a": i}, "s", "r") for i in range(900)], "doc_id bigint, text string, m map<string,int>, shard string, run string").repartition(6)
+    kind = "doc_id bigint, text string, m map<string,int>, shard string, run string, _shard string, path string, n_rows int"
+    df = spark.createDataFrame([(i % 50 if i % 9 else None, f"{i} " * (i % 200), {"a": i}, "s", "r", f"own{i % 7}", "p", 1) for i in range(900)], kind).repartition(6)
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     store = sharding.shard(df, shared_dir(spark, "shard-test"), tiers, arrivals=3)
+    assert settings == {k: spark.conf.get(k, None) for k in settings}
     back = store.read(df.schema)
-    rows = lambda d: collections.Counter((r["doc_id"], r["text"], r["m"]["a"], r["shard"]) for r in d.collect())
-    assert rows(back) == rows(df)
+    rows = lambda d: collections.Counter((r["doc_id"], r["text"], r["m"]["a"], r["shard"], r["_shard"]) for r in d.collect())
+    assert rows(back) == rows(df) and back.columns == [*df.columns, "_shard_"]
     first, last = store.manifest(3), store.manifest()
-    assert last.count() < first.count() and last.agg(F.sum("n_rows")).first()[0] == 900 and store.version() > 3
+    assert first.select("run").distinct().count() == 3 and last.count() < first.count() and store.version() > 3
+    sizes = {r["path"]: r["length"] for r in spark.read.format("binaryFile").load(f"{store.root}/data/*/*.parquet").select("path", "length").collect()}
+    assert {r["path"]: r["n_bytes"] for r in last.collect()} == sizes  # the live files, all of them, and no others
     with pytest.raises(Exception):
         store._commit(last, store.version() - 1)  # that version is there already
     nothing = sharding.shard(df.where("false"), shared_dir(spark, "shard-empty"), tiers)
     assert nothing.read(df.schema).count() == 0
 
 
+def test_sharding_merges_due_tiers_only(spark):
+    tiers = sharding.Tiers(target_bytes=1 << 20, fan_in=3, least_bytes=2_000)
+    store = sharding.ShardStore(spark, shared_dir(spark, "shard-tiers"), tiers)
+    part = spark.range(100, numPartitions=4).withColumn("text", F.lit("x"))
+    for _ in range(2):
+        store.append(part)
+    assert store.compact(part.schema) == 2 and store.manifest().count() == 8  # eight files, but of two runs only
+    part.write.parquet(f"{store.root}/data/underway")  # another writer's append, not committed yet
+    store.append(part)
+    assert store.compact(part.schema, keep_merged=False) == 4 and store.manifest().count() == 1
+    assert spark.read.parquet(f"{store.root}/data/underway").count() == 100 and store.read(part.schema).count() == 300
+
+
+def test_sharding_reads_its_input_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda i: reads.add(1) or i, "bigint").asNondeterministic()
+    df = spark.range(200, numPartitions=8).select(counted("id").alias("id"), F.rand().alias("r"))
+    store = sharding.shard(df, shared_dir(spark, "shard-once"), sharding.Tiers(fan_in=2))
+    assert reads.value == 200 and sorted(r["id"] for r in store.read(df.schema).collect()) == list(range(200))
+
+
 def test_every_operator_is_registered():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES}
     assert numbers == set(range(1, 11)) and [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard", "decontamination", "bpe"]
