@@ -225,6 +225,40 @@ def test_forward_backward_is_exact():
     assert np.allclose(marginal, exact) and np.allclose(pairs, exact_pairs) and log_z == pytest.approx(exact_z)
 
 
+def numeric(f, w):
+    """Central differences of f at w."""
+    out = np.zeros(len(w))
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-5
+        out[k] = (f(w + step) - f(w - step)) / 2e-5
+    return out
+
+
+def test_quality_gradient_is_numeric():
+    rng = np.random.default_rng(3)
+    begins, label = np.array([0, 3, 4, 9]), np.array([1, 0, 1])
+    features, w = rng.normal(size=(9, 5)), rng.normal(size=9) * 0.5
+    _, g = quality_crf.objective(w, features, begins, label, 1e-2)
+    assert np.allclose(g, numeric(lambda u: quality_crf.objective(u, features, begins, label, 1e-2)[0], w), atol=1e-6)
+
+
+def test_line_labels_may_change_within_a_document():
+    """Good documents with a bad tail: the lines of the tail are found bad, and quality is the length-weighted share."""
+    good, bad = "this is a plain line of text that ends well.", "$$$ ||| !!! *** 999"
+    texts = [good + "\n" + "\n".join([good] * 5 + [bad] * (k % 2) * 4) for k in range(40)] + ["\n".join([bad] * 7)] * 30
+    x, size, begins = quality_crf.line_features(pa.array(texts))
+    model = quality_crf.fit(x, size, begins, np.array([1] * 40 + [0] * 30))
+    column = pa.array([good + "\n" + "\n".join([good] * 5 + [bad] * 4)])
+    lines = quality_crf.line_features(column)
+    marginal = model.marginals(lines[0], lines[2])
+    assert (marginal[:5] > 0.5).all() and (marginal[-2:] < 0.5).all()
+    weight = lines[1] + 1.0
+    assert model.quality(*lines)[0] == pytest.approx((marginal * weight).sum() / weight.sum())
+    q = model.quality(*lines)[0]
+    assert model.score(column)[0] == pytest.approx(1 / (1 + np.exp(-(model.curve[0] * np.log(q / (1 - q)) + model.curve[1]))))
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = [r for r in quality_crf.query(docs, labels).join(labels, "doc_id").collect() if r["held_out"]]
@@ -236,10 +270,36 @@ def test_quality_held_out(spark):
     assert quality_crf.score(odd(spark), none).count() == len(EXTRA)
 
 
-def test_ordinal_gradient_and_order(spark):
+def test_ordinal_gradient_is_numeric():
+    rng = np.random.default_rng(5)
+    row, feature = rng.integers(0, 30, 80), rng.integers(0, 6, 80)
+    value, grade, w = rng.random(80) + 0.1, rng.integers(0, 4, 30), rng.normal(size=6 + 3) * 0.4
+    _, g = toxicity.objective(w, row, feature, value, grade, 1e-2)
+    assert np.allclose(g, numeric(lambda u: toxicity.objective(u, row, feature, value, grade, 1e-2)[0], w), atol=1e-6)
+
+
+def test_ordinal_grades_share_weights(spark):
+    """Four grades by how often a marker stands in the text: thresholds are ordered, severity is the sum of P(grade >= k)."""
+    rnd, rows = random.Random(2), []
+    for k in range(800):
+        words_ = [rnd.choice(("plain", "green", "house", "river", "stone")) for _ in range(12)]
+        markers = rnd.randint(0, 9)
+        rows.append((k, " ".join(words_ + ["vilest"] * markers), min(3, markers // 3)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    model = toxicity.train(df, "text", "grade")
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert np.mean([got[k]["grade"] == g for k, _, g in rows]) > 0.9
+    for k, text, _ in rows[:50]:
+        h, at = toxicity.features(pa.array([text]))[1], {int(x): i for i, x in enumerate(model.hashes)}
+        eta = sum(model.weights[at[x]] * np.log1p(n) for x, n in collections.Counter(h.tolist()).items() if x in at)
+        assert got[k]["severity"] == pytest.approx(sum(1 / (1 + np.exp(t - eta)) for t in model.thresholds))
+
+
+def test_ordinal_held_out_and_odd_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(toxicity.labelled(docs, labels, "toxic", 5_000), "text", "label")
-    assert (np.diff(model.thresholds) > 0).all()
+    assert len(model.thresholds) == 1  # the labels hold two grades
     rows = toxicity.score(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").collect()
     clean = [r["found"] for r in rows if r["toxic"] == 0]
     caught = [r["found"] for r in rows if r["toxic"] == 1]

@@ -4,6 +4,10 @@ Every line is labelled good or bad. A line's score depends on its own features a
 before and after it; transitions tie neighbouring labels. Forward-backward gives each line's marginal of
 being good; the marginals, weighted by line length, average to the document's quality, which a logistic
 curve maps to the probability of the document label.
+
+Line labels are latent in training: a document's label is evidence for each of its lines, EVIDENCE in
+log-odds, and the marginal likelihood of the evidence is maximised. A good document may so hold bad lines,
+and transitions learn how labels change.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from urbis.llm.common import Spans, fold, held_out, persist, sample, slices, sum
 
 #: Labelled documents the model is fitted on.
 TRAINING_ROWS = 4_000
+#: Documents of more lines are left out of the fit (not of scoring), which bounds the sample on the driver.
+TRAINING_LINES = 2_000
+#: Log-odds with which a line has its document's label, before its features are seen.
+EVIDENCE = 2.0
 SLICE_BYTES = 4 << 20
 N_FEATURES = 14
 
@@ -142,20 +150,27 @@ class LineCrf:
         return 1 / (1 + np.exp(-(self.curve[0] * np.log(q / (1 - q)) + self.curve[1])))
 
 
+def objective(w: np.ndarray, features: np.ndarray, begins: np.ndarray, label: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Negative marginal log-likelihood of the evidence a line, with the penalty, and its gradient; w: weights, then the 2 x 2 pulls."""
+    score, pull = features @ w[:-4], w[-4:].reshape(2, 2)
+    toward = EVIDENCE * np.repeat(2.0 * label - 1, np.diff(begins))
+    free, free_pairs, free_z = forward_backward(score, pull, begins)
+    held, held_pairs, held_z = forward_backward(score + toward, pull, begins)
+    loss = (free_z - held_z) / len(score) + l2 / 2 * float(w @ w)
+    grad = np.concatenate([features.T @ (free - held), (free_pairs - held_pairs).reshape(-1)]) / len(score) + l2 * w
+    return loss, grad
+
+
 def fit(x: np.ndarray, size: np.ndarray, begins: np.ndarray, label: np.ndarray, steps: int = 120, l2: float = 1e-3) -> LineCrf:
-    """Conditional likelihood by Adam (every line bears its document's label), then the logistic curve."""
+    """Marginal likelihood by Adam, then the logistic curve of the documents' quality."""
     model = LineCrf(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(3 * N_FEATURES + 1), np.zeros((2, 2)))
     if not 0 < label.mean() < 1:
         return LineCrf(model.mean, model.spread, model.weights, model.pull, (0.0, 4.0 if label.mean() else -4.0))
     features = with_neighbours((x - model.mean) / model.spread, begins)
-    gold = np.repeat(label, np.diff(begins)).astype(float)
-    inner = np.diff(begins) - 1
-    gold_pairs = np.diag([inner[label == 0].sum(), inner[label == 1].sum()]).astype(float)
     w = np.zeros(features.shape[1] + 4)
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        marginal, pairs, _ = forward_backward(features @ w[:-4], w[-4:].reshape(2, 2), begins)
-        g = np.concatenate([features.T @ (marginal - gold), (pairs - gold_pairs).reshape(-1)]) / len(gold) + l2 * w
+        _, g = objective(w, features, begins, label, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights, model.pull = w[:-4], w[-4:].reshape(2, 2)
@@ -172,9 +187,13 @@ def fit(x: np.ndarray, size: np.ndarray, begins: np.ndarray, label: np.ndarray,
 
 
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> LineCrf:
-    """Fit on about `rows` labelled documents outside fold 0 (null labels left out, the larger of several taken)."""
+    """Fit on about `rows` labelled documents outside fold 0 (null labels left out, the larger of several taken).
+
+    Documents of more than TRAINING_LINES lines take no part.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = documents.select(id_col, text_col).join(F.broadcast(sample(known, id_col, rows)), id_col).where(F.col(text_col).isNotNull()).select(text_col, "label")
+    chosen = chosen.where(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) < TRAINING_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):

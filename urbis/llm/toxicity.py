@@ -84,34 +84,43 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -60, 60)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, n: np.ndarray, grade: np.ndarray, hashes: np.ndarray, l2: float = 1e-5, steps: int = 600) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty, by Adam over the whole sample."""
-    grades, rows = int(grade.max(initial=1)) + 1, len(grade)
-    value = np.log1p(n)
-    share = np.array([(grade > k).mean() for k in range(grades - 1)])
-    start = np.log((1 - share + 1e-6) / (share + 1e-6))
-    gaps = np.diff(start)
-    w = np.concatenate([np.zeros(len(hashes)), start[:1], np.log(np.maximum(gaps, 0.05))])
-    m, v, size = np.zeros(len(w)), np.zeros(len(w)), len(hashes)
+def cuts(w: np.ndarray, size: int) -> np.ndarray:
+    """The ordered thresholds: the first parameter after the weights, and the exponentials of the others added up."""
+    return w[size] + np.concatenate([[0.0], np.cumsum(np.exp(w[size + 1 :]))])
+
+
+def objective(w: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the penalty on the weights, and its gradient; w: weights, then the thresholds' parameters."""
+    rows, grades = len(grade), int(grade.max(initial=1)) + 1
+    size = len(w) - (grades - 1)
 
     def link(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
+    eta = np.bincount(row, w[feature] * value, minlength=rows)
+    bounds = np.concatenate([[-np.inf], cuts(w, size), [np.inf]])
+    high, low = bounds[grade + 1] - eta, bounds[grade] - eta
+    up, down = np.where(np.isinf(high), 1.0, link(high)), np.where(np.isinf(low), 0.0, link(low))
+    p = np.maximum(up - down, 1e-12)
+    d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
+    d_theta = np.array([d_down[grade == k + 1].sum() - d_up[grade == k].sum() for k in range(grades - 1)]) / rows
+    d_weights = np.bincount(feature, ((d_up - d_down) / rows)[row] * value, minlength=size) + l2 * w[:size]
+    d_gaps = [d_theta[k + 1 :].sum() * np.exp(w[size + 1 + k]) for k in range(grades - 2)]
+    return float(-np.log(p).mean() + l2 / 2 * (w[:size] @ w[:size])), np.concatenate([d_weights, [d_theta.sum()], d_gaps])
+
+
+def fit(row: np.ndarray, feature: np.ndarray, n: np.ndarray, grade: np.ndarray, hashes: np.ndarray, l2: float = 1e-5, steps: int = 600) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty, by Adam over the whole sample, for as many grades as the sample has."""
+    grades, value = int(grade.max(initial=1)) + 1, np.log1p(n)
+    share = np.array([(grade > k).mean() for k in range(grades - 1)])
+    start = np.log((1 - share + 1e-6) / (share + 1e-6))
+    w = np.concatenate([np.zeros(len(hashes)), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        theta = w[size] + np.concatenate([[0], np.cumsum(np.exp(w[size + 1 :]))])
-        eta = np.bincount(row, w[feature] * value, minlength=rows)
-        bounds = np.concatenate([[-np.inf], theta, [np.inf]])
-        high, low = bounds[grade + 1] - eta, bounds[grade] - eta
-        up, down = np.where(np.isinf(high), 1.0, link(high)), np.where(np.isinf(low), 0.0, link(low))
-        p = np.maximum(up - down, 1e-12)
-        d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
-        d_eta = (d_up - d_down) / rows  # of the negative log-likelihood
-        d_theta = np.array([-(d_up[grade == k].sum() - d_down[grade == k + 1].sum()) / rows for k in range(grades - 1)])
-        g = np.concatenate([np.bincount(feature, d_eta[row] * value, minlength=size) + l2 * w[:size], [d_theta.sum()], [d_theta[k + 1 :].sum() * np.exp(w[size + 1 + k]) for k in range(grades - 2)]])
+        _, g = objective(w, row, feature, value, grade, l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    theta = w[size] + np.concatenate([[0], np.cumsum(np.exp(w[size + 1 :]))])
-    return OrdinalModel(hashes, w[:size], theta)
+    return OrdinalModel(hashes, w[: len(hashes)], cuts(w, len(hashes)))
 
 
 def select_features(rows: DataFrame, text_col: str, label_col: str, limit: int = MAX_FEATURES) -> np.ndarray:
@@ -141,14 +150,13 @@ def select_features(rows: DataFrame, text_col: str, label_col: str, limit: int =
 
 
 def train(rows: DataFrame, text_col: str, grade_col: str) -> OrdinalModel:
-    """Fit on the given (bounded) rows; a binary label becomes three grades.
+    """Fit on the given (bounded) rows, for the grades 0, 1, .. that they hold.
 
-    With two grades only, positive rows whose marker mass (sum of log(1 + count) over the features that
-    lean positive) is above the positive rows' median become grade 2.
+    A binary label is two grades with one threshold; its expected severity is the probability of grade 1.
     """
     rows = persist(rows.where(F.col(text_col).isNotNull() & F.col(grade_col).isNotNull()).select(text_col, F.col(grade_col).cast("int").alias("grade")), "toxicity-sample")
     hashes = select_features(rows, text_col, "grade")
-    empty = OrdinalModel(hashes, np.zeros(len(hashes)), np.array([30.0, 40.0]))
+    empty = OrdinalModel(hashes, np.zeros(len(hashes)), np.array([30.0]))
     if not len(hashes):
         return empty
     shared = rows.sparkSession.sparkContext.broadcast(empty)
@@ -165,11 +173,6 @@ def train(rows: DataFrame, text_col: str, grade_col: str) -> OrdinalModel:
     sizes = np.asarray(pc.list_value_length(found.column("feature")).to_numpy()).astype(np.int64)
     feature, n = (np.asarray(pc.list_flatten(found.column(c)).to_numpy()).astype(np.int64) for c in ("feature", "n"))
     row = np.repeat(np.arange(len(grade)), sizes)
-    if grade.max(initial=0) == 1:
-        rate = (grade > 0).mean()
-        lean = np.bincount(feature, grade[row] > 0, minlength=len(hashes)) > np.bincount(feature, minlength=len(hashes)) * max(0.5, rate)
-        mass = np.bincount(row, np.log1p(n) * lean[feature], minlength=len(grade))
-        grade = np.where((grade > 0) & (mass > np.median(mass[grade > 0])), 2, grade)
     return fit(row, feature, n, grade.astype(np.int64), hashes)
 
 
