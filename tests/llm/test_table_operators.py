@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbis.llm import decontamination, near_duplicates, sharding, warc
+from urbis.llm import decontamination, near_duplicates, sharding, toxicity, warc
 from urbis.llm.common import shared_dir
 from urbis.llm.queries import QUERIES
 
@@ -282,14 +283,67 @@ def test_every_operator_is_registered():
     assert numbers == set(range(1, 11)) and [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard", "decontamination", "bpe"]
 
 
-def test_pipeline(spark):
+def brute_kept(text):
+    """The repetition rules by counting: the base rule's windows of 8 words, covered words by windows of 4, the longest repeat."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def covered(width):
+        places = collections.defaultdict(list)
+        for i in range(len(w) - width + 1):
+            places[tuple(w[i : i + width])].append(i)
+        return len({j for at in places.values() if len(at) > 1 for i in at for j in range(i, i + width)})
+
+    return len(w) >= 20 and 100 * covered(8) <= 30 * len(w) and covered(4) <= 0.3 * len(w) and not covered(51)
+
+
+def brute_toxic(text, model):
+    """P(grade 1) from the fitted weights, feature by feature."""
+    found = collections.Counter(toxicity.features(pa.array([text or ""]))[1].tolist())
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    eta = sum(weight[h] * np.log1p(n) for h, n in found.items() if h in weight) if found else -30
+    return 1 / (1 + np.exp(model.thresholds[0] - eta))
+
+
+def test_pipeline_equals_brute_force(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    model = toxicity.train(toxicity.labelled(tables["documents"], tables["labels"], "toxic", toxicity.TRAINING_ROWS), "text", "label")
+    rows = [(r["doc_id"], r["text"]) for r in tables["documents"].collect()]
+    rows = [r for r in rows if brute_toxic(r[1], model) < 0.4]
+    rows = [r for r in rows if brute_kept(r[1])]
+    _, tops = brute_classes(rows)
+    items = [tokens(r["text"]) for r in tables["benchmark"].collect()]
+
+    def leaks(text):
+        h = tokens(text)
+        return any(sum(t in known for t in h) >= min(len(item), 10) and brute_overlap(h, item) >= min(len(item), 10) for item in items if len(item) >= 5 for known in [set(item)])
+
+    classes = collections.defaultdict(list)
+    for (i, t), top in zip(rows, tops, strict=True):
+        classes[top].append((i, t))
+    reference = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    reference.no_truncation()
+    texts = dict(rows)
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    for members in classes.values():
+        held = [i for i, _ in members if i in got]
+        assert len(held) == 1 or (not held and any(leaks(t) for _, t in members)), members[0]
+    assert set(got) <= set(texts) and not any(leaks(texts[i]) for i in got) and len(got) > 50
+    for i, r in got.items():
+        ids = reference.encode(texts[i] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_pipeline_stages_keep_columns_and_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    at = docs
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "same words " * 3, None, None, None), (7, "same words " * 3, None, None, None)], docs.schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, at, SF)
-        assert kept.columns == docs.columns, name
-        kept = spark.createDataFrame(kept.collect(), kept.schema)
-        assert kept.exceptAll(at).isEmpty()
-        at = kept
-    expected = {r[0] for r in at.select("doc_id").collect()}
-    assert {r[0] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == expected and len(expected) > 50
+        for rows in (docs.limit(40).unionByName(odd), docs.where("false")):
+            kept = stage(spark, rows, SF)
+            assert kept.columns == docs.columns and kept.exceptAll(rows).isEmpty(), name
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -31,10 +31,12 @@ _POWERS: list[np.ndarray] = []
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests), a temporary folder is made and set for the session.
+    Where the setting is absent, a local session (as in tests) gets a temporary folder; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="urbis-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
