@@ -5,7 +5,7 @@ substitution there. The masks lose nothing: a stretch that verification accepts
 among which substitutions take fewer than half as many places from any start on (its score stays positive);
 there are 143 such patterns, and each holds a window of one of the masks.
 
-One scan hashes the distinct windows of each document under each mask and joins them with the benchmark's,
+One scan hashes the windows of each document under each mask and joins them with the benchmark's distinct ones,
 which gives the pairs of document and item. For these few, window positions are joined: a hit fixes the
 alignment (diagonal). In repetitive text a hit whose windows both stand a period after an equal window is
 left out, since the hit a period earlier is on the same diagonal; so hits grow with the sum of two runs, not
@@ -72,10 +72,26 @@ def windows(h: Column, masks: list[tuple[int, ...]]) -> Column:
         return out
 
     every = F.sequence(F.lit(0), F.greatest(count, F.lit(1)) * m - 1)
-    whole = F.when((F.size(h) > 0) & (F.size(h) < LEAST_ITEM), F.array(F.xxhash64(F.lit("whole"), h)))
+    whole = F.when((F.size(h) > 0) & (F.size(h) < LEAST_ITEM), F.array(F.xxhash64(F.lit("whole"), *(F.get(h, F.lit(p)) for p in range(LEAST_ITEM - 1)))))
     return whole.when(count > 0, F.transform(every, hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
+def spread(hashed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(key, w): the windows of windows(), without their places, of all rows (key, h).
+
+    Neighbouring tokens become columns of one row, so that generated code hashes them; this is the only
+    step that every token of every document passes.
+    """
+    at_once = max(mask[-1] for mask in masks) + 1
+    shifted = [F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))) if k else F.col("h") for k in range(at_once)]
+    h = [F.col(f"h{k}") for k in range(at_once)]
+    rows = hashed.select("key", F.posexplode(F.arrays_zip(*shifted)).alias("at", "z")).select("key", "at", "z.*").toDF("key", "at", *(f"h{k}" for k in range(at_once)))
+    each = [F.when(h[mask[-1]].isNotNull(), F.xxhash64(F.lit(str(mask)), *(h[p] for p in mask))) for mask in masks]
+    whole = (F.col("at") == 0) & h[LEAST_ITEM - 1].isNull()
+    each[0] = F.when(whole, F.xxhash64(F.lit("whole"), *h[: LEAST_ITEM - 1])).otherwise(each[0])
+    return rows.select("key", F.explode(F.array(*each)).alias("w")).where("w IS NOT NULL")
+
+
 def periodic(w: Column, m: int) -> Column:
     """Each window of an array with its number and the least period after which it repeats an earlier one (0: none)."""
 
@@ -108,7 +124,7 @@ def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     theirs = items.select("item_id", "h", windows(F.col("h"), masks).alias("ws")).select("item_id", "h", F.explode(periodic(F.col("ws"), m)).alias("e"))
     theirs = persist(theirs.where(fits).select("item_id", "e.*"), "benchmark-windows")
     distinct = theirs.select("item_id", "w").distinct()
-    ours = documents.select("key", tokens(F.col("text")).alias("h")).select("key", F.explode(F.array_distinct(windows(F.col("h"), masks))).alias("w")).where("w IS NOT NULL")
+    ours = spread(documents.select("key", tokens(F.col("text")).alias("h")), masks)
     met = persist(ours.join(small(distinct, BROADCAST_ROWS), "w").select("key", "item_id").distinct(), "benchmark-pairs")
     keys = small(met.select("key").distinct(), BROADCAST_ROWS // 10)
     held = persist(documents.join(keys, "key").select("doc", "key", tokens(F.col("text")).alias("h")).distinct(), "benchmark-texts")
