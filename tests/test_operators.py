@@ -118,3 +118,59 @@ def test_promotion_expression(spark):
     rows = [(["Int64", "Float64"],), (["Date", None],), (["Boolean", "String"],), ([None],), (["Date", "Timestamp", "String"],)]
     got = [r[0] for r in spark.createDataFrame(rows, "k array<string>").select(schema.promote_column(F.col("k"))).collect()]
     assert got == [schema.promote(k) for (k,) in rows]
+
+
+def test_sql_predicates_hold_no_plan(spark):
+    spark.range(5).createOrReplaceTempView("t_other")
+    df = spark.range(9).selectExpr("id", "'select x' AS s")
+    for text in ("id in (select id from t_other)", "exists(select 1 from t_other)", "id = (SELECT max(id) FROM t_other)", "case when id in(select id from t_other) then true end", "id > 2 and not (id not in (select 1))"):
+        with pytest.raises(ValueError):
+            query.where_sql(df, text)
+    assert query.where_sql(df, "s = 'select x' and id in (1, 2)").count() == 2
+    with pytest.raises(Exception):
+        query.where_sql(df, "1 = 1; drop table t_other")
+
+
+def test_whole_number_predicates_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(k, k / 2) for k in range(-5, 20)], "n int, v double").withColumn("id", F.col("n").cast("string")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+
+    def pushed(test, column="n"):
+        plan = query.attr_filter(df, column, test)._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters") : plan.index("ReadSchema")]
+
+    got = lambda test: sorted(r["n"] for r in query.attr_filter(df, "n", test).collect())
+    assert "GreaterThanOrEqual(n,3)" in pushed(query.Ge(2.5)) and got(query.Ge(2.5)) == list(range(3, 20))
+    assert "LessThanOrEqual(n,2)" in pushed(query.Le(2.5)) and got(query.Le(2.5)) == list(range(-5, 3))
+    assert "EqualTo(n,4)" in pushed(query.Eq(4)) and got(query.Eq(4.0)) == [4] and got(query.Eq(4.5)) == []
+    assert got(query.Range(-2.5, 1)) == [-2, -1, 0, 1] and got(query.Range(3.2, 3.8)) == [] and got(query.Ge(float("nan"))) == []
+    assert len(got(query.Le(float("inf")))) == len(got(query.Ge(-(2**40)))) == 25 and got(query.Ge(2**40)) == got(query.Ge(2.0**60)) == []
+    assert "GreaterThanOrEqual(v,2.5)" in pushed(query.Ge(2.5), "v")
+
+
+def test_crowded_keys_are_ranked_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 2 AS k", "id")
+    assert "WindowGroupLimit" in query.distinct_on(df, ["k"], [F.asc("id")])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_families_with_cycles_and_long_chains(spark):
+    rows = [(f"c{k:03}", [f"c{k - 1:03}"] if k else None) for k in range(300)]  # a chain
+    rows += [(f"x{k}", [f"x{(k + 1) % 7}"]) for k in range(7)] + [(f"y{k}", [f"x{k}"]) for k in range(3)]  # a cycle, and objects that hang on it
+    got = {r["id"]: r["feature_id"] for r in hierarchy.family_roots(spark.createDataFrame(rows, "id string, parents array<string>")).collect()}
+    assert got == {i: "c000" if i[0] == "c" else "x0" for i, _ in rows}
+    edges = spark.createDataFrame([(f"c{k:03}", f"c{k + 1:03}") for k in range(300)] + [("z1", "z2"), ("z2", "z2")], "a string, b string")
+    assert {r["id"]: r["root"] for r in hierarchy.components(edges).collect()} == {f"c{k:03}": "c000" for k in range(1, 301)} | {"z2": "z1"}
+
+
+def test_windows_over_boxes_of_all_sizes(spark):
+    import random
+
+    from urbis.operators import spatial
+
+    rnd = random.Random(1)
+    boxes = [(f"o{k}", *(lambda x, y, s: (x, y, x + s, y + s))(rnd.uniform(-500, 500), rnd.uniform(-500, 500), rnd.choice((0.0, 1.0, 7.0, 64.0, 900.0)))) for k in range(300)]
+    windows = [(k, *(lambda x, y, s: (x, y, x + s, y + s))(rnd.uniform(-500, 500), rnd.uniform(-500, 500), rnd.choice((0.0, 20.0, 300.0)))) for k in range(20)]
+    objects = spark.createDataFrame(boxes, "id string, a double, b double, c double, d double").selectExpr("id", "named_struct('xmin', a, 'ymin', b, 'xmax', c, 'ymax', d) AS bbox")
+    got = [(r["id"], r["window_id"]) for r in spatial.window_join(objects, spark.createDataFrame(windows, "window_id int, x0 double, y0 double, x1 double, y1 double"), 5.0).collect()]
+    expected = {(i, k) for i, a, b, c, d in boxes for k, x0, y0, x1, y1 in windows if a <= x1 and c >= x0 and b <= y1 and d >= y0}
+    assert set(got) == expected and len(got) == len(expected) > 50

@@ -2,15 +2,15 @@ import json
 
 import pytest
 
-from urbis.model.names import SchemaError
+from urbis.model.names import DOCUMENT_TYPE, FEATURE_TYPE, SchemaError
 from urbis.operators import lake, validate
-from urbis.sinks import cityjson as out
+from urbis.sinks import featurejson as out
 from urbis.sinks import package as packages
-from urbis.sources import cityjson, inputs
+from urbis.sources import featurejson, inputs
 from urbis.sources import package as read
 from urbis.streaming import ingest
 
-HEADER = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.001] * 3, "translate": [10, 20, 0]}, "metadata": {"referenceSystem": "EPSG:7415"}, "CityObjects": {}, "vertices": []}
+HEADER = {"type": DOCUMENT_TYPE, "version": "2.0", "transform": {"scale": [0.001] * 3, "translate": [10, 20, 0]}, "metadata": {"referenceSystem": "EPSG:7415"}, "CityObjects": {}, "vertices": []}
 CUBE = [[[0, 2, 3, 1]], [[4, 5, 7, 6]], [[0, 1, 5, 4]], [[1, 3, 7, 5]], [[3, 2, 6, 7]], [[2, 0, 4, 6]]]
 
 
@@ -18,7 +18,7 @@ def feature(n, shift=0, **attributes):
     v = [[x + shift, y, z] for z in (0, 2000) for y in (0, 1000) for x in (0, 1000)]
     solid = {"type": "Solid", "lod": "2.2", "boundaries": [CUBE], "semantics": {"surfaces": [{"type": "GroundSurface"}, {"type": "RoofSurface"}, {"type": "WallSurface"}], "values": [[0, 1, 2, 2, 2, 2]]}}
     objects = {f"b{n}": {"type": "Building", "children": [f"p{n}"], "attributes": attributes}, f"p{n}": {"type": "BuildingPart", "parents": [f"b{n}"], "geometry": [solid], "custom": 1}}
-    return {"type": "CityJSONFeature", "id": f"b{n}", "CityObjects": objects, "vertices": v}
+    return {"type": FEATURE_TYPE, "id": f"b{n}", "CityObjects": objects, "vertices": v}
 
 
 @pytest.fixture
@@ -30,20 +30,20 @@ def sequence(tmp_path):
 
 
 def test_read_sequence(spark, sequence):
-    df = cityjson.read(spark, sequence)
+    df = featurejson.read(spark, sequence)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     assert kinds["year"] == "double" and kinds["when"] == "timestamp" and kinds["ok"] == "string" and kinds["_ID"] == "string"
     rows = {r["id"]: r for r in df.collect()}
     assert rows["p1"]["feature_id"] == "b1" and rows["b1"]["bbox"]["zmax"] == 2.0 and rows["b1"]["bbox"]["xmin"] == 10.0
     assert rows["b2"]["coercion_failures"] == 1 and rows["b2"]["when"] is None and rows["p1"]["other"] == '{"custom":1}'
-    meta = cityjson.metadata(spark, sequence).first()
+    meta = featurejson.metadata(spark, sequence).first()
     assert (meta["crs"], meta["n_features"], meta["n_objects"]) == ("EPSG:7415", 3, 6)
     with pytest.raises(SchemaError):
-        cityjson.merge((df, cityjson.header(spark, sequence)), (df, cityjson.Header((1, 1, 1), (0, 0, 0), "EPSG:1", None)))
+        featurejson.merge((df, featurejson.header(spark, sequence)), (df, featurejson.Header((1, 1, 1), (0, 0, 0), "EPSG:1", None)))
 
 
 def test_package_round_trip(spark, sequence, tmp_path):
-    df = cityjson.read(spark, sequence).drop("coercion_failures")
+    df = featurejson.read(spark, sequence).drop("coercion_failures")
     target = str(tmp_path / "pkg")
     manifest = packages.write(df, target, crs="EPSG:7415", partitions=2)
     assert manifest["bbox"][5] == 2.0 and manifest["assets"]["building"]["table:row_count"] == 6
@@ -59,7 +59,7 @@ def test_package_round_trip(spark, sequence, tmp_path):
 
     back = str(tmp_path / "export")
     out.write_sequence(package.objects().drop("table_name"), back, "EPSG:7415", translate=(10.0, 20.0, 0.0))
-    again = cityjson.read(spark, back).drop("coercion_failures")
+    again = featurejson.read(spark, back).drop("coercion_failures")
     columns = ["feature_id", "object_type", "geometry_lod2_2", "year", "name", "_ID", "other"]
     assert again.count() == 6 and validate.compare(df, again, columns).count() == 0
 
@@ -83,7 +83,7 @@ def test_dataset_life(spark, sequence, tmp_path):
     with pytest.raises(SchemaError):
         catalog.create("no good")
     data = catalog.create("city")
-    rows = cityjson.read(spark, sequence).drop("coercion_failures")
+    rows = featurejson.read(spark, sequence).drop("coercion_failures")
     data.ingest(rows, "EPSG:7415")
     for again, crs in ((rows, "EPSG:7415"), (rows.where("false"), "EPSG:1")):
         with pytest.raises(SchemaError):
@@ -116,8 +116,8 @@ def test_dataset_life(spark, sequence, tmp_path):
 
 def test_stream(spark, sequence, tmp_path):
     catalog = lake.Catalog(spark, f"file://{tmp_path}/lake")
-    data, lines = catalog.create("live"), cityjson.features(spark, sequence)
-    head, kinds, levels = cityjson.header(spark, sequence), cityjson.infer(lines), cityjson.lods(lines)
+    data, lines = catalog.create("live"), featurejson.features(spark, sequence)
+    head, kinds, levels = featurejson.header(spark, sequence), featurejson.infer(lines), featurejson.lods(lines)
     for _ in range(2):  # the second start finds nothing new
         stream = ingest.feature_stream(spark, str(tmp_path))
         ingest.ingest_stream(stream, data, head, kinds, levels, str(tmp_path / "ck")).awaitTermination(120)
@@ -127,14 +127,14 @@ def test_stream(spark, sequence, tmp_path):
 def test_accounting_and_variants(spark, sequence, tmp_path):
     from urbis.operators import accounting
 
-    rows = cityjson.read(spark, sequence).drop("coercion_failures")
+    rows = featurejson.read(spark, sequence).drop("coercion_failures")
     found = {v["variant"]: v for v in accounting.variants(rows, str(tmp_path / "v"), ["default", "plain+source"], (0, 0, 0, 99, 99, 99))}
     assert all(v["stored_bytes"] > 0 and v["window_bytes"] > 0 and v["read_s"] > 0 for v in found.values())
 
 
 def test_explain_changes_nothing(spark, sequence, tmp_path):
     data = lake.Catalog(spark, f"file://{tmp_path}/lake").create("city")
-    rows = cityjson.read(spark, sequence).drop("coercion_failures")
+    rows = featurejson.read(spark, sequence).drop("coercion_failures")
     assert "Physical Plan" in data.explain_ingest(rows) and data.version() == 1
     data.ingest(rows, "EPSG:7415")
     assert "b1" in data.explain_delete("id = 'b1'") and data.objects().count() == 6
@@ -143,7 +143,7 @@ def test_explain_changes_nothing(spark, sequence, tmp_path):
 def test_partitioned_write(spark, sequence, tmp_path):
     from pyspark.sql import functions as F
 
-    rows = cityjson.read(spark, sequence).drop("coercion_failures").withColumn("partition", F.concat(F.lit("p"), F.substring("feature_id", 2, 1)))
+    rows = featurejson.read(spark, sequence).drop("coercion_failures").withColumn("partition", F.concat(F.lit("p"), F.substring("feature_id", 2, 1)))
     manifest = packages.write_partitions(rows, str(tmp_path / "parts"))
     assert manifest["partitions"] == {"p1": 2, "p2": 2, "p3": 2} and manifest["summaries"]["city3d:object_types"] == ["Building", "BuildingPart"]
     back = spark.read.parquet(str(tmp_path / "parts/building.parquet"))
@@ -153,5 +153,5 @@ def test_partitioned_write(spark, sequence, tmp_path):
 def test_document(spark, tmp_path):
     document = HEADER | {"CityObjects": {k: v for n in (1,) for k, v in feature(n)["CityObjects"].items()}, "vertices": feature(1)["vertices"]}
     (tmp_path / "d.city.json").write_text(json.dumps(document, indent=1))
-    df = cityjson.read(spark, str(tmp_path / "d.city.json"), sequence=False)
+    df = featurejson.read(spark, str(tmp_path / "d.city.json"), sequence=False)
     assert {r["id"]: r["feature_id"] for r in df.collect()} == {"b1": "b1", "p1": "b1"}

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-# Reserved columns, per-LoD prefixes, and (class as in CityJSON, class stored, module, parent class).
+# Reserved columns, per-LoD prefixes, and (class in documents, class stored, module, parent class).
 RESERVED = ("id", "feature_id", "object_type", "parents", "children", "children_roles", "address", "bbox", "implicit_geometry", "other")
+DOCUMENT_TYPE, FEATURE_TYPE = "CityJSON", "CityJSONFeature"
 LOD_PREFIXES = ("geometry_properties", "geometry", "material", "texture")
 CLASSES = (
     ("Building", "Building", "building", "AbstractBuilding"),

@@ -56,35 +56,57 @@ def subtree(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFr
     """(root, id, depth) of everything reachable over (parent, child), the roots included at depth 0.
 
     Breadth first, one join a level against what was not yet reached, so cycles end by themselves; each
-    level is written to the shared folder. depth is the shortest.
+    level is written to the shared folder once, and all levels are united at the end. depth is the shortest.
     """
-    seen = checkpointed(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
-    level = seen
+    seen = level = checkpointed(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
         found = level.join(edges, level["id"] == edges["parent"]).select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")).distinct()
         level = checkpointed(found.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
         if level.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(level))
+        seen = seen.unionByName(level)
     raise RecursionError(f"deeper than {max_depth}")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of all nodes of edges (a, b) but the smallest of each connected component, which is the root.
+
+    Star contraction: in turn, every node's larger neighbours are hung on its smallest one, and all its smaller
+    neighbours on the smallest, until the edges stay the same. Each step is kept in the shared folder.
+    """
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = checkpointed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        edges = checkpointed(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        before = now
+
+
 def family_roots(df: DataFrame) -> DataFrame:
     """(id, feature_id): the root reached over first parents that are in the table; within a cycle, the smallest id.
 
-    Pointer jumping: the distance covered doubles each round.
+    Pointer jumping: the distance covered doubles each round. The rounds end when no pointer moves, or when as
+    many move as in the round before and no smallest id changed: then only cycles and what hangs on them move.
     """
     up = first_parent(df).select("id", "parent_id")
     present = df.select(F.col("id").alias("parent_id"))
     known = up.join(present, "parent_id", "left_semi").select("id", F.col("parent_id").alias("up"))
     jump = checkpointed(df.select("id").join(known, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.least("id", F.coalesce("up", "id")).alias("low")))
-    for _ in range(40):
+    before = None
+    while True:
         ahead = jump.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-        moved = checkpointed(jump.join(ahead, "up").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low"), (F.col("next") != F.col("up")).alias("moved")))
-        changed = not moved.where("moved").isEmpty()
-        jump = moved.drop("moved")
-        if not changed:
+        moved = checkpointed(jump.join(ahead, "up").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low"), (F.col("next") != F.col("up")).alias("moved"), (F.col("next_low") < F.col("low")).alias("lower")))
+        moves, lower = moved.agg(F.count_if("moved"), F.count_if("lower")).first()
+        jump = moved.drop("moved", "lower")
+        if not moves or (moves == before and not lower):
             break
+        before = moves
     # A root points at itself; where pointers still move there is a cycle, named by its smallest member.
     fixed = known.select("id").withColumnRenamed("id", "up")
     in_cycle = jump.join(fixed, "up", "left_semi").select("id", F.col("low").alias("feature_id"))

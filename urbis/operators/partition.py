@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbis.operators import hierarchy
 from urbis.operators.query import with_ordinal
-from urbis.session import checkpointed
 
 
 def by_count(df: DataFrame, parts: int, key: str = "id") -> DataFrame:
@@ -32,18 +32,13 @@ def by_box(df: DataFrame, cell: float) -> DataFrame:
 def repair_locality(df: DataFrame) -> DataFrame:
     """Give all members of a connected hierarchy the smallest of their labels; rows as before otherwise.
 
-    References to ids that are not there connect nothing. Labels travel over the references in both
-    directions until none changes; each round is one join and a partial aggregate, kept in the shared folder.
+    References to ids that are not there connect nothing. The members of a hierarchy are found by star
+    contraction (rounds grow with the logarithm of its size, not with its depth), its label by one aggregate.
     """
     ids = df.select("id")
     links = df.select("id", F.explode("parents").alias("other")).unionByName(df.select("id", F.explode("children").alias("other")))
     links = links.join(ids.select(F.col("id").alias("other")), "other", "left_semi")
-    links = checkpointed(links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
-    label = checkpointed(df.select("id", F.col("partition").alias("label")))
-    while True:
-        heard = links.join(label.select(F.col("id").alias("other"), F.col("label").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        moved = checkpointed(label.join(heard, "id", "left").select("id", F.least("label", "theirs").alias("label"), (F.col("theirs") < F.col("label")).alias("moved")))
-        done = moved.where("moved").isEmpty()
-        label = moved.drop("moved")
-        if done:
-            return df.drop("partition").join(label.withColumnRenamed("label", "partition"), "id")
+    root = hierarchy.components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    member = df.select("id", "partition").join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "partition")
+    least = member.groupBy("root").agg(F.min("partition").alias("partition"))
+    return df.drop("partition").join(member.select("id", "root").join(least, "root").select("id", "partition"), "id")

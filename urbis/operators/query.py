@@ -6,6 +6,8 @@ predicate; NaN neither (Spark would order it above every number), and statistics
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -101,13 +103,16 @@ class Range:
 
 
 Predicate = Eq | Ge | Le | Range
+_BITS = {T.LongType: 64, T.IntegerType: 32, T.ShortType: 16, T.ByteType: 8}
 _NUMBERS = (T.LongType, T.DoubleType, T.IntegerType, T.FloatType, T.ShortType, T.ByteType)
 
 
 def predicate(df: DataFrame, name: str, test: Predicate) -> Column:
     """The predicate as a column, after checking that the value's type fits the column's.
 
-    Whole-number columns compare as doubles. A mismatch raises, whatever the data.
+    Whole-number columns compare with whole numbers of their own type (bounds are rounded inwards), so the
+    comparison reaches the scan; from 2**53 on, where doubles are no longer exact, as doubles. A mismatch
+    raises, whatever the data.
     """
     c, kind = column(df, name), df.schema[name].dataType
     numeric = isinstance(kind, _NUMBERS)
@@ -119,14 +124,21 @@ def predicate(df: DataFrame, name: str, test: Predicate) -> Column:
             raise SchemaError(f"{test} does not fit column {name!r} of type {kind.simpleString()}")
     if not numeric:
         return c == F.lit(test.value)
-    d = c.cast("double")
     low, high = (values[0], values[-1]) if isinstance(test, (Eq, Range)) else (test.value, None) if isinstance(test, Ge) else (None, test.value)
-    out = ~F.isnan(d)
-    if low is not None:
-        out = out & (d >= float(low))
-    if high is not None:
-        out = out & (d <= float(high))
-    return out
+    if any(v is not None and math.isnan(v) for v in (low, high)):
+        return c.isNotNull() & F.lit(False)
+    inexact = any(v is not None and 1 << 53 <= abs(v) < math.inf for v in (low, high))
+    if inexact or isinstance(kind, (T.DoubleType, T.FloatType)):
+        c = c.cast("double") if inexact else c
+        out = c >= float(low) if low is not None else c.isNotNull()
+        return out & (c <= float(high) if high is not None else ~F.isnan(c))
+    least, most = -(1 << (_BITS[type(kind)] - 1)), (1 << (_BITS[type(kind)] - 1)) - 1
+    low = least if low is None or low <= least else most + 1 if low > most else math.ceil(low)
+    high = most if high is None or high >= most else least - 1 if high < least else math.floor(high)
+    if low > high:
+        return c.isNotNull() & F.lit(False)
+    bounds = [f(F.lit(v).cast(kind)) for v, f, open_end in ((low, c.__ge__, least), (high, c.__le__, most)) if v != open_end]
+    return (c == F.lit(low).cast(kind)) if low == high else functools.reduce(lambda a, b: a & b, bounds, c.isNotNull())
 
 
 def attr_filter(df: DataFrame, name: str, test: Predicate) -> DataFrame:
@@ -142,12 +154,15 @@ def attr_filter_count(df: DataFrame, name: str, test: Predicate) -> DataFrame:
 
 
 def attr_stats(df: DataFrame, name: str) -> DataFrame:
-    """min, max, sum and count of the non-null numbers; null for min, max and sum without any."""
+    """min, max, sum and count of the non-null numbers, as doubles; null for min, max and sum without any.
+
+    Whole numbers are aggregated as they are stored; NaN is left out of floating columns.
+    """
     c = column(df, name)
     if not isinstance(df.schema[name].dataType, _NUMBERS):
         raise SchemaError(f"column {name!r} holds no numbers")
-    d = F.when(~F.isnan(c.cast("double")), c.cast("double"))
-    return df.agg(F.min(d).alias("min"), F.max(d).alias("max"), F.sum(d).alias("sum"), F.count(d).alias("count"))
+    d = F.nanvl(c, F.lit(None).cast(df.schema[name].dataType)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
+    return df.agg(F.min(d).cast("double").alias("min"), F.max(d).cast("double").alias("max"), F.sum(d.cast("double")).alias("sum"), F.count(d).alias("count"))
 
 
 def id_lookup(df: DataFrame, object_id: str) -> DataFrame:
@@ -176,10 +191,27 @@ def union_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Expressions that hold a query plan.
+_PLANS = ("PlanExpression", "SubqueryExpression", "InSubquery", "ScalarSubquery", "Exists", "ListQuery")
+
+
 def where_sql(df: DataFrame, text: str) -> DataFrame:
-    """Rows for which a SQL expression holds. The text is parsed as one expression: no statement, no subquery."""
-    if "select" in text.lower().split():
-        raise ValueError("subqueries are not allowed")
+    """Rows for which a SQL expression holds.
+
+    The text is parsed as one expression, and any node of it that holds a query plan refuses it: so it can
+    read no other table, wherever the subquery stands.
+    """
+    parsed, todo = df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(text), []
+    todo.append(parsed)
+    while todo:
+        node = todo.pop()
+        kind = node.getClass()
+        while kind is not None:
+            if kind.getSimpleName() in _PLANS:
+                raise ValueError("subqueries are not allowed")
+            kind = kind.getSuperclass()
+        children = node.children()
+        todo.extend(children.apply(k) for k in range(children.size()))
     return df.where(F.expr(text))
 
 
@@ -225,7 +257,11 @@ def with_ordinal(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order (an aggregate over sorted structs would copy the rows)."""
+    """The first row of each key in a total order.
+
+    Spark limits the rank before the shuffle, so a task sends one row of a key, and a crowded key brings no more
+    rows than there are tasks.
+    """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
@@ -239,8 +275,9 @@ def visit_totals(df: DataFrame) -> DataFrame:
 
 
 def answer_digest(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Count and order-independent digest of a set of ids."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(id_col)), F.lit(0)).alias("digest"))
+    """Count and order-independent digest of a set of ids: the exclusive or of 60 bits of their MD5."""
+    bits = F.conv(F.substring(F.md5(F.col(id_col).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(bits), F.lit(0)).alias("digest"))
 
 
 def selectivity_window(df: DataFrame, share: float) -> DataFrame:

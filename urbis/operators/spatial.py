@@ -13,6 +13,17 @@ def shoelace(ring: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2
 
 
+def newell(ring: Column) -> Column:
+    """Struct nx, ny, nz, area of a ring of struct<x, y, z> (closing point optional): Newell's vector, twice as long as the area."""
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def total(p: str, q: str) -> Column:
+        return F.aggregate(F.zip_with(ring, following, lambda a, b: (a[p] - b[p]) * (a[q] + b[q])), F.lit(0.0), lambda s, t: s + t)
+
+    x, y, z = total("y", "z"), total("z", "x"), total("x", "y")
+    return F.struct(x.alias("nx"), y.alias("ny"), z.alias("nz"), (F.sqrt(x * x + y * y + z * z) / 2).alias("area"))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd test; an edge counts on its lower end, so points on shared borders have one owner."""
     following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
@@ -24,7 +35,7 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(ring, following, crosses), F.lit(0), lambda s, t: s + t) % 2 == 1
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
+def _cells(low: Column, high: Column, size: Column | float) -> Column:
     return F.sequence(F.floor(low / size).cast("bigint"), F.floor(high / size).cast("bigint"))
 
 
@@ -46,16 +57,23 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float, salts:
     return dealt.join(placed, ["__cx", "__cy", "__salt"]).where(contains(ring, x, y)).drop("__cx", "__cy", "__salt", "ring")
 
 
-def window_join(objects: DataFrame, windows: DataFrame, cell: float) -> DataFrame:
+def window_join(objects: DataFrame, windows: DataFrame, cell: float, salts: int = 16) -> DataFrame:
     """(id, window_id) of all objects whose bbox meets a window (closed, in plan).
 
-    Both sides are listed in the cells they meet; a pair is reported in the cell of its lower-left
-    common corner only, so nothing is made distinct afterwards.
+    An object stands at the level whose cells (of size cell * 2**level) are no smaller than its box, in four
+    cells at most; windows are listed in the cells they meet of every level that objects have. A pair is
+    reported in the cell of its lower-left common corner only, so nothing is made distinct afterwards. A crowded
+    cell is spread over `salts` tasks by the objects' salt; windows are repeated.
     """
     b = F.col("bbox")
     o = objects.where(b.isNotNull()).select("id", b["xmin"].alias("ax0"), b["ymin"].alias("ay0"), b["xmax"].alias("ax1"), b["ymax"].alias("ay1"))
-    o = o.withColumn("gx", F.explode(_cells(F.col("ax0"), F.col("ax1"), cell))).withColumn("gy", F.explode(_cells(F.col("ay0"), F.col("ay1"), cell)))
-    w = windows.select("window_id", "x0", "y0", "x1", "y1").withColumn("gx", F.explode(_cells(F.col("x0"), F.col("x1"), cell))).withColumn("gy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
+    extent = F.greatest(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0"), F.lit(float(cell)))
+    level = F.ceil(F.log2(extent / cell)).cast("int")
+    o = o.withColumns({"level": level, "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")}).withColumn("size", cell * F.pow(F.lit(2.0), F.col("level")))
+    levels = F.broadcast(o.select("level", "size").distinct())  # as many rows as a box can be doubled
+    o = o.withColumn("gx", F.explode(_cells(F.col("ax0"), F.col("ax1"), F.col("size")))).withColumn("gy", F.explode(_cells(F.col("ay0"), F.col("ay1"), F.col("size")))).drop("size")
+    w = windows.select("window_id", "x0", "y0", "x1", "y1").crossJoin(levels).withColumn("gx", F.explode(_cells(F.col("x0"), F.col("x1"), F.col("size")))).withColumn("gy", F.explode(_cells(F.col("y0"), F.col("y1"), F.col("size"))))
+    w = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     meets = (F.col("ax0") <= F.col("x1")) & (F.col("ax1") >= F.col("x0")) & (F.col("ay0") <= F.col("y1")) & (F.col("ay1") >= F.col("y0"))
-    first = (F.col("gx") == F.floor(F.greatest("ax0", "x0") / cell)) & (F.col("gy") == F.floor(F.greatest("ay0", "y0") / cell))
-    return o.join(w, ["gx", "gy"]).where(meets & first).select("id", "window_id")
+    first = (F.col("gx") == F.floor(F.greatest("ax0", "x0") / F.col("size"))) & (F.col("gy") == F.floor(F.greatest("ay0", "y0") / F.col("size")))
+    return o.join(w, ["level", "gx", "gy", "salt"]).where(meets & first).select("id", "window_id")

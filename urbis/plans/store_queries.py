@@ -13,9 +13,9 @@ from urbis.operators import hierarchy, lake, lod0, query, sidecars, validate
 from urbis.plans import city_view as city
 from urbis.plans.queries import register, rounded, table
 from urbis.session import shared_folder
-from urbis.sinks import cityjson as out
+from urbis.sinks import featurejson as out
 from urbis.sinks import package as packages
-from urbis.sources import citydb, cityjson
+from urbis.sources import citydb, featurejson
 from urbis.sources import package as read
 
 
@@ -143,45 +143,36 @@ def _families(spark, sf_dir):
     return city.objects(spark, sf_dir).drop("o_orderdate")
 
 
-def _asked(spark, sf_dir, rows):
-    """The rows, of all that were stored and read back, that the SQL asks for: families of the first customers."""
-    chosen = table(spark, sf_dir, "orders").where("o_custkey <= 30").select(F.concat(F.lit("O"), "o_orderkey").alias("feature_id"))
-    return rows.join(chosen, "feature_id", "left_semi")
-
-
-SOME = "FROM objects WHERE feature_id IN (SELECT id FROM buildings WHERE o_custkey <= 30)"
-
-
-@register(f"SELECT object_type, count(*) AS n, count(*) FILTER (object_type = 'BuildingPart') AS solids {SOME} GROUP BY 1")
+@register("SELECT object_type, count(*) AS n, count(*) FILTER (object_type = 'BuildingPart') AS solids, count(xmin) AS boxes, round(min(xmin), 2) AS xmin, round(max(zmax), 2) AS zmax FROM objects GROUP BY 1")
 def sequence_round_trip(spark, sf_dir):
     """All families written as feature lines and read back."""
     path = _scratch(spark, "sequence")
     out.write_sequence(_families(spark, sf_dir).drop("bbox"), path, "EPSG:28992", (0.01, 0.01, 0.01))
-    back = _asked(spark, sf_dir, cityjson.read(spark, path))
-    return back.groupBy("object_type").agg(F.count(F.lit(1)).alias("n"), F.count("geometry_lod2_2").alias("solids"))
+    b = F.col("bbox")
+    back = featurejson.read(spark, path).groupBy("object_type")
+    found = back.agg(F.count(F.lit(1)).alias("n"), F.count("geometry_lod2_2").alias("solids"), F.count(b).alias("boxes"), F.min(b["xmin"]).alias("xmin"), F.max(b["zmax"]).alias("zmax"))
+    return rounded(found, 2, "xmin", "zmax")
 
 
-@register(f"SELECT 'building' AS table_name, count(*) AS n_rows, min(xmin) AS xmin, round(max(zmax), 6) AS zmax {SOME}")
+@register("SELECT 'building' AS table_name, id, feature_id, object_type, xmin, round(zmax, 6) AS zmax FROM objects")
 def package_write(spark, sf_dir):
-    """All families written as a package in curve order, opened again."""
+    """All families written as a package in curve order, opened again: every object."""
     path = _scratch(spark, "packages") + "/package"
     packages.write(_families(spark, sf_dir), path, crs="EPSG:28992")
-    package = read.open_package(spark, path)
-    b = F.col("bbox")
-    found = _asked(spark, sf_dir, package.objects()).groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min(b["xmin"]).alias("xmin"), F.max(b["zmax"]).alias("zmax"))
-    return rounded(found, 6, "zmax")
+    objects = read.open_package(spark, path).objects()
+    return rounded(objects.select("table_name", "id", "feature_id", "object_type", F.col("bbox.xmin"), F.col("bbox.zmax")), 6, "zmax")
 
 
-@register("SELECT b.id, b.o_totalprice * 1.0 AS o_totalprice, b.n_children AS n FROM buildings b WHERE o_custkey <= 30 AND o_orderstatus <> 'F' AND id <> (SELECT max(id) FROM buildings WHERE o_custkey <= 30 AND o_orderstatus <> 'F')")
+@register("SELECT b.id, b.o_totalprice * 1.0 AS o_totalprice, b.n_children AS n FROM buildings b WHERE o_orderstatus <> 'F' AND id <> (SELECT max(id) FROM buildings WHERE o_orderstatus <> 'F')")
 def dataset_changes(spark, sf_dir):
-    """Ingest of all families, delete by predicate, delete by id, reconcile, compact; buildings that are left."""
+    """Ingest of all families, delete by predicate, delete by id, reconcile, compact; all buildings that are left."""
     data = lake.Catalog(spark, _scratch(spark, "lake")).create("city")
     data.ingest(_families(spark, sf_dir), "EPSG:28992")
     data.delete("o_orderstatus = 'F'")
-    last = data.objects().where("object_type = 'Building' AND o_custkey <= 30").agg(F.max("id")).first()[0]
+    last = data.objects().where("object_type = 'Building'").agg(F.max("id")).first()[0]
     data.delete_id(last)
     data.reconcile()
     data.compact()
     data.vacuum()
-    rows = data.objects().where("object_type = 'Building' AND o_custkey <= 30")  # those that the SQL asks for
+    rows = data.objects().where("object_type = 'Building'")
     return rows.select("id", "o_totalprice", F.coalesce(F.array_size("children"), F.lit(0)).cast("bigint").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from urbis.operators.lake import Dataset
-from urbis.sources import cityjson
+from urbis.sources import featurejson
 
 
 def feature_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,12 +19,12 @@ def feature_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder)
 
 
-def ingest_stream(lines: DataFrame, dataset: Dataset, header: cityjson.Header, kinds: dict[str, str], levels: list, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest_stream(lines: DataFrame, dataset: Dataset, header: featurejson.Header, kinds: dict[str, str], levels: list, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Parse each micro-batch with a fixed schema and ingest it; a refused batch fails the stream.
 
     A batch that was committed before a failure is recognised by its ids and skipped when repeated.
     """
-    out = cityjson.table_schema(kinds, levels)
+    out = featurejson.table_schema(kinds, levels)
     rows = parsed(lines, header, kinds, out)
 
     def take(batch: DataFrame, _: int) -> None:
@@ -44,20 +44,20 @@ def ingest_stream(lines: DataFrame, dataset: Dataset, header: cityjson.Header, k
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def parsed(lines: DataFrame, header: cityjson.Header, kinds: dict[str, str], out: T.StructType) -> DataFrame:
+def parsed(lines: DataFrame, header: featurejson.Header, kinds: dict[str, str], out: T.StructType) -> DataFrame:
     from urbis.model import schema
-    from urbis.model.names import escape_attribute
+    from urbis.model.names import FEATURE_TYPE, escape_attribute
 
-    arrow = pa.schema([(f.name, cityjson._arrow(f.dataType)) for f in out])
+    arrow = pa.schema([(f.name, featurejson._arrow(f.dataType)) for f in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
                 feature = json.loads(text) if text.strip() else {}
-                if feature.get("type") != "CityJSONFeature":
+                if feature.get("type") != FEATURE_TYPE:
                     continue
-                for row in cityjson.with_subtree_boxes(list(cityjson.feature_rows(feature, header))):
+                for row in featurejson.with_subtree_boxes(list(featurejson.feature_rows(feature, header))):
                     failures = 0
                     for name, value in row.pop("attributes").items():
                         if name in kinds:
