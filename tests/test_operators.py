@@ -96,7 +96,7 @@ def test_partition_labels_and_repair(spark):
 
 def test_bands_and_screen(spark):
     df = spark.createDataFrame([("a", None), ("b", 1946), ("c", 2006), ("d", 2005)], "id string, year int")
-    assert {r["id"]: r["u"] for r in df.select("id", energy.band_value(F.col("year"), "u_roof").alias("u")).collect()} == {"a": 2.0, "b": 1.5, "c": 0.3, "d": 0.4}
+    assert {r["id"]: r["u"] for r in df.select("id", energy.step_value(F.col("year"), energy.BANDS["until"], energy.BANDS["u_roof"]).alias("u")).collect()} == {"a": 2.0, "b": 1.5, "c": 0.3, "d": 0.4}
     rows = spark.createDataFrame([("a", None, None, 1.0), ("b", 1990, 0.9, 5.0), ("c", 2010, 0.9, 5.0)], "building_id string, year int, sv_ratio double, a double").withColumns({k: F.col("a") for k in ("a_roof_flat_m2", "a_roof_pitched_m2", "a_wall_m2", "a_ground_m2")})
     assert {r["building_id"] for r in energy.screen(rows, 100.0, year_before=2000).collect()} == {"a", "b"}
     assert {r["building_id"] for r in energy.screen(rows, 100.0, sv_above=0.5).collect()} == {"b", "c"}

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,35 +226,83 @@ solid_measures_strict = solid_measures_strict.asNondeterministic()
 FACE = ddl.struct("face_idx int, nx double, ny double, nz double, tilt_deg double, azimuth_deg double, area_m2 double, cx double, cy double, cz double")
 
 
-def _fan(points: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signed area of a ring's fan along `unit`, and the fan's centroid times that area."""
-    if points.shape[1] < 3:
-        return np.zeros(len(points)), np.zeros((len(points), 3))
-    a, b, c = points[:, :1], points[:, 1:-1], points[:, 2:]
-    size = (np.cross(b - a, c - a) * unit[:, None, :]).sum(axis=2) / 2
-    return size.sum(axis=1), (size[..., None] * (a + b + c) / 3).sum(axis=1)
+#: A ring smaller than this share of its squared extent counts as a line; a normal flatter than this has no azimuth.
+THIN, UPRIGHT = 1e-14, 1e-9
+
+
+def _plane_moments(points: np.ndarray, origin: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signed area of a ring in the plane (origin; u, v), and its first moments along u and v (Green's theorem)."""
+    p = points - origin[:, None, :]
+    s, t = (p * u[:, None, :]).sum(axis=2), (p * v[:, None, :]).sum(axis=2)
+    s2, t2 = np.roll(s, -1, axis=1), np.roll(t, -1, axis=1)
+    turn = s * t2 - s2 * t
+    return turn.sum(axis=1) / 2, (turn * (s + s2)).sum(axis=1) / 6, (turn * (t + t2)).sum(axis=1) / 6
 
 
 def face_columns(layout: Layout, block: np.ndarray, face: tuple[int, ...]) -> list[np.ndarray]:
-    """FACE's values but the index, for one face in all rows of a group."""
+    """FACE's values but the index, for one face in all rows of a group.
+
+    Rings are measured in the plane of the outer one: its moments less those of the holes, whichever way they
+    wind. A face without area has the mean of its outer ring's points as centroid.
+    """
     outer = ring_points(layout, block, face[0])
     normal = newell(outer)
-    length = np.linalg.norm(normal, axis=1)
-    unit = np.divide(normal, length[:, None], out=np.zeros_like(normal), where=length[:, None] > 0)
-    area = length / 2
-    weight, centre = _fan(outer, unit)
+    length = np.linalg.norm(normal, axis=1, keepdims=True)
+    unit = np.divide(normal, length, out=np.zeros_like(normal), where=length > 0)
+    helper = np.eye(3)[np.abs(unit).argmin(axis=1)]  # the axis most aslant to the normal
+    u = np.cross(unit, helper)
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    v, origin = np.cross(unit, u), outer.mean(axis=1)
+    area, along_u, along_v = _plane_moments(outer, origin, u, v)
+    total = area.copy()
     for hole in face[1:]:
-        ring = ring_points(layout, block, hole)
-        area = area - np.linalg.norm(newell(ring), axis=1) / 2
-        size, moment = _fan(ring, unit)
-        flat = np.abs(size) <= 1e-12
-        own = np.where(flat[:, None], ring.mean(axis=1), moment / np.where(flat, 1, size)[:, None])
-        weight, centre = weight - np.abs(size), centre - np.abs(size)[:, None] * own
-    flat = np.abs(weight) < 1e-12
-    centroid = np.where(flat[:, None], outer.mean(axis=1), centre / np.where(flat, 1, weight)[:, None])
-    level = np.hypot(unit[:, 0], unit[:, 1])
-    azimuth = np.where(level < 1e-9, np.nan, np.degrees(np.arctan2(unit[:, 0], unit[:, 1])) % 360)
-    return [*unit.T, np.degrees(np.arccos(np.clip(unit[:, 2], -1, 1))), azimuth, np.maximum(area, 0), *centroid.T]
+        inner, inner_u, inner_v = _plane_moments(ring_points(layout, block, hole), origin, u, v)
+        way = np.sign(inner)
+        total, along_u, along_v = total - way * inner, along_u - way * inner_u, along_v - way * inner_v
+    extent = np.ptp(outer, axis=1).max(axis=1)
+    solid = total > THIN * extent * extent
+    share = np.where(solid, 1 / np.where(solid, total, 1), 0)
+    centroid = origin + (along_u * share)[:, None] * u + (along_v * share)[:, None] * v
+    tilt = np.degrees(np.arctan2(np.hypot(unit[:, 0], unit[:, 1]), unit[:, 2]))
+    tilt = np.where(length[:, 0] > 0, tilt, 90.0)
+    azimuth = np.where(np.hypot(unit[:, 0], unit[:, 1]) < UPRIGHT, np.nan, np.degrees(np.arctan2(unit[:, 0], unit[:, 1])) % 360)
+    return [*unit.T, tilt, azimuth, np.maximum(total, 0), *centroid.T]
+
+
+AREAS = ddl.struct("roof_flat double, roof_pitched double, wall double, ground double, other double")
+
+
+@F.arrow_udf(AREAS)
+def class_areas(wkb: pa.Array, surface_codes: pa.Array, face_semantics: pa.Array, flat_tilt: pa.Array) -> pa.Array:
+    """Areas of a geometry's faces by class: one small struct a solid; null for null and malformed input.
+
+    surface_codes: class of each surface (0 roof, 1 wall, 2 ground, 3 other); face_semantics: surface of each
+    face. Faces without a surface are other.
+    """
+    values, flat = wkb.to_pylist(), np.asarray(flat_tilt, float)
+    out, known = np.zeros((len(values), 5)), np.zeros(len(values), bool)
+
+    def entries(lists: pa.Array, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        flat_values = np.asarray(pc.fill_null(lists.flatten(), missing)).astype(np.int64)
+        return np.append(flat_values, missing), np.cumsum(sizes) - sizes, sizes
+
+    codes, code_at, n_codes = entries(surface_codes, 3)
+    faces, face_at, n_faces = entries(face_semantics, -1)
+    for rows, layout, block in grouped(values):
+        known[rows] = True
+        for k, face in enumerate(layout.faces):
+            columns = face_columns(layout, block, face)
+            surface = np.where(k < n_faces[rows], faces[np.where(k < n_faces[rows], face_at[rows] + k, -1)], -1)
+            inside = (surface >= 0) & (surface < n_codes[rows])
+            code = np.where(inside, codes[np.where(inside, code_at[rows] + surface, -1)], 3)
+            place = np.where(code == 0, np.where(columns[3] <= flat[rows], 0, 1), code + 1)
+            np.add.at(out, (rows, place), columns[5])
+    return pa.StructArray.from_arrays([pa.array(c) for c in out.T], names=[f.name for f in AREAS], mask=pa.array(~known))
+
+
+class_areas = class_areas.asNondeterministic()
 
 
 @F.arrow_udf(T.ArrayType(FACE))

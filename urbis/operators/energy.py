@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +9,17 @@ from urbis.functions.wkb import solid_measures
 from urbis.operators.query import ranked
 
 
-@dataclass(frozen=True)
-class Band:
-    name: str
-    max_year: int | None
-    u_roof: float
-    u_wall: float
-    u_ground: float
-
+#: Columns of thresholds, one place a band: each holds up to and including the year in "until", the last without end.
+Bands = dict[str, tuple]
 
-# Heat transmission by construction year (screening grade), matched as year <= max_year.
-BANDS = (
-    Band("pre1946", 1945, 2.0, 2.0, 1.7),
-    Band("1946-1974", 1974, 1.5, 1.6, 1.7),
-    Band("1975-1991", 1991, 0.9, 0.9, 0.9),
-    Band("1992-2005", 2005, 0.4, 0.5, 0.6),
-    Band("post2005", None, 0.3, 0.35, 0.4),
-)
+# Heat transmission by construction year (screening grade).
+BANDS: Bands = {
+    "name": ("pre1946", "1946-1974", "1975-1991", "1992-2005", "post2005"),
+    "until": (1945, 1974, 1991, 2005, None),
+    "u_roof": (2.0, 1.5, 0.9, 0.4, 0.3),
+    "u_wall": (2.0, 1.6, 0.9, 0.5, 0.35),
+    "u_ground": (1.7, 1.7, 0.9, 0.6, 0.4),
+}
 
 
 def part_measures(df: DataFrame, geometry: str = "geometry_lod2_2", part: str = "BuildingPart") -> DataFrame:
@@ -56,17 +48,19 @@ def features(df: DataFrame, attributes: list[str], geometry: str = "geometry_lod
     return family_measures(part_measures(df, geometry)).join(wholes, "building_id")
 
 
-def band_value(year: Column, field: str, bands: tuple[Band, ...] = BANDS) -> Column:
-    """A band's value for a year; a null year is the first band, a later one than all the last."""
-    ordered = sorted(bands, key=lambda b: (b.max_year is None, b.max_year))
-    out = F.lit(getattr(ordered[-1], field))
-    for band in reversed(ordered):
-        if band.max_year is not None:
-            out = F.when(year <= band.max_year, F.lit(getattr(band, field))).otherwise(out)
-    return F.when(year.isNull(), F.lit(getattr(ordered[0], field))).otherwise(out)
+def step_value(at: Column, until: tuple, values: tuple) -> Column:
+    """values[k] for the first k with at <= until[k] (ascending, the last None); null counts as below all.
+
+    The number of bounds that `at` exceeds is the place, so the expression is one sum and one array access.
+    """
+    bounds = [u for u in until if u is not None]
+    if bounds != sorted(bounds) or len(values) != len(bounds) + 1:
+        raise ValueError("bounds must ascend, with one value more than bounds")
+    place = sum((F.coalesce((at > u).cast("int"), F.lit(0)) for u in bounds), F.lit(0))
+    return F.get(F.array(*map(F.lit, values)), place)
 
 
-def screen(df: DataFrame, hdd: float, bands: tuple[Band, ...] = BANDS, year_before: int | None = None, sv_above: float | None = None, top: int | None = None, tie: str = "building_id") -> DataFrame:
+def screen(df: DataFrame, hdd: float, bands: Bands = BANDS, year_before: int | None = None, sv_above: float | None = None, top: int | None = None, tie: str = "building_id") -> DataFrame:
     """Heat loss and annual demand of each building, ranked by demand (ties by id).
 
     year_before keeps unknown years; sv_above drops unknown ratios.
@@ -76,7 +70,7 @@ def screen(df: DataFrame, hdd: float, bands: tuple[Band, ...] = BANDS, year_befo
         df = df.where(year.isNull() | (year < year_before))
     if sv_above is not None:
         df = df.where(F.col("sv_ratio") > sv_above)
-    df = df.withColumns({f: band_value(year, f, bands) for f in ("u_roof", "u_wall", "u_ground")})
+    df = df.withColumns({f: step_value(year, bands["until"], bands[f]) for f in ("u_roof", "u_wall", "u_ground")})
     loss = F.col("u_roof") * (F.col("a_roof_flat_m2") + F.col("a_roof_pitched_m2")) + F.col("u_wall") * F.col("a_wall_m2") + F.col("u_ground") * F.col("a_ground_m2")
     df = df.withColumn("h_t_w_per_k", loss).withColumn("annual_kwh", F.col("h_t_w_per_k") * hdd * 24.0 / 1000.0)
     return ranked(df, "annual_kwh", top, tie)

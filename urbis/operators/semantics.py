@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbis.functions import wkb
 from urbis.functions.wkb import face_metrics
 
 
@@ -31,6 +32,14 @@ def class_areas(face_table: DataFrame, by: str, flat_tilt: float = 5.0) -> DataF
     return face_table.groupBy(by).agg(*(F.coalesce(F.sum(F.when(test, a)), F.lit(0.0)).alias(name) for name, test in parts.items()))
 
 
+def solid_class_areas(df: DataFrame, geometry: str, properties: str, by: str, flat_tilt: float = 5.0) -> DataFrame:
+    """class_areas() of the rows' geometries without a face table: faces are added up where they are decoded."""
+    kind = lambda s: F.get_json_object(s, "$.type")
+    codes = F.transform(F.from_json(F.col(properties)["surfaces"], "array<string>"), lambda s: F.when(kind(s) == "RoofSurface", 0).when(kind(s) == "WallSurface", 1).when(kind(s) == "GroundSurface", 2).otherwise(3))
+    rows = df.select(by, wkb.class_areas(F.col(geometry), codes, F.col(properties)["face_semantics"], F.lit(float(flat_tilt))).alias("a")).where("a IS NOT NULL")
+    return rows.groupBy(by).agg(*(F.sum(f"a.{name}").alias(f"a_{name}_m2") for name in ("roof_flat", "roof_pitched", "wall", "ground", "other")))
+
+
 def surface_counts(df: DataFrame, properties: str) -> DataFrame:
     """Number of surface entries of each type over all rows."""
     entries = df.where(F.col(properties).isNotNull()).select(F.explode(F.from_json(F.col(f"{properties}.surfaces"), "array<string>")).alias("s"))

@@ -1,6 +1,7 @@
 """The synthetic city over the driver's tables: orders are buildings, order lines their parts.
 
 A part is a box at (l_partkey, l_suppkey, 0) of size (l_quantity, 1 + 10 l_discount, 1 + 100 l_tax).
+store() writes the city of a folder as a package; from then on its queries read that package.
 """
 
 from __future__ import annotations
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 
 from urbis.functions.wkb import box_wkb
 from urbis.model import schema
+from urbis.sinks import package
+from urbis.sources.package import open_package
+
+#: Object rows of the stored cities by folder of tables.
+STORED: dict[str, DataFrame] = {}
+_PART = ("l_returnflag", "l_quantity", "l_extendedprice")
+_BUILDING = ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_custkey")
 
 SURFACES = '[{"type":"GroundSurface"},{"type":"RoofSurface"},{"type":"WallSurface"}]'
 
@@ -26,6 +34,8 @@ def _box() -> dict[str, Column]:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Building parts as object rows."""
+    if sf_dir in STORED:
+        return STORED[sf_dir].where("object_type = 'BuildingPart'").drop(*_BUILDING)
     b = _box()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     feature = F.concat(F.lit("O"), "l_orderkey")
@@ -40,6 +50,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings as object rows: bbox and children come from the lines, aggregated before the join."""
+    if sf_dir in STORED:
+        return STORED[sf_dir].where("object_type = 'Building'").drop(*_PART, "geometry_lod2_2", "geometry_properties_lod2_2")
     b = _box()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     low, high = [F.min(b[a]).alias(a) for a in schema.AXES[:3]], [F.max(b[a]).alias(a) for a in schema.AXES[3:]]
@@ -53,4 +65,14 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All object rows of the city."""
+    if sf_dir in STORED:
+        return STORED[sf_dir]
     return buildings(spark, sf_dir).unionByName(parts(spark, sf_dir), allowMissingColumns=True)
+
+
+def store(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the city as a package at `path` and let the queries over sf_dir read it."""
+    STORED.pop(sf_dir, None)
+    rows = objects(spark, sf_dir).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    package.write(rows, path)
+    STORED[sf_dir] = open_package(spark, path).objects().drop("table_name")

@@ -291,7 +291,7 @@ def face_table(spark, sf_dir):
 
 @register("SELECT feature_id, round(sum(w * d), 3) AS a_roof_flat_m2, 0.0::DOUBLE AS a_roof_pitched_m2, round(sum(2 * h * (w + d)), 3) AS a_wall_m2, round(sum(w * d), 3) AS a_ground_m2, 0.0::DOUBLE AS a_other_m2 FROM parts GROUP BY 1")
 def class_areas(spark, sf_dir):
-    found = semantics.class_areas(semantics.faces(city.parts(spark, sf_dir), "geometry_lod2_2", "geometry_properties_lod2_2", ["feature_id"]), "feature_id")
+    found = semantics.solid_class_areas(city.parts(spark, sf_dir), "geometry_lod2_2", "geometry_properties_lod2_2", "feature_id")
     return rounded(found, 3, "a_roof_flat_m2", "a_roof_pitched_m2", "a_wall_m2", "a_ground_m2", "a_other_m2")
 
 
@@ -345,8 +345,8 @@ def window_join(spark, sf_dir):
           CASE WHEN o_custkey <= 800 THEN 1.7::DOUBLE ELSE 0.4::DOUBLE END AS u_ground FROM buildings)
   JOIN (SELECT feature_id AS f, round(sum(w * d), 6) AS roof, round(sum(2 * h * (w + d)), 6) AS wall FROM parts GROUP BY 1) ON f = id)""")
 def energy_screen(spark, sf_dir):
-    bands = (energy.Band("old", 400, 2.0, 2.0, 1.7), energy.Band("middle", 800, 1.5, 1.6, 1.7), energy.Band("new", None, 0.3, 0.35, 0.4))
-    areas = semantics.class_areas(semantics.faces(city.parts(spark, sf_dir), "geometry_lod2_2", "geometry_properties_lod2_2", ["feature_id"]), "feature_id")
+    bands = {"name": ("old", "middle", "new"), "until": (400, 800, None), "u_roof": (2.0, 1.5, 0.3), "u_wall": (2.0, 1.6, 0.35), "u_ground": (1.7, 1.7, 0.4)}
+    areas = semantics.solid_class_areas(city.parts(spark, sf_dir), "geometry_lod2_2", "geometry_properties_lod2_2", "feature_id")
     years = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("id"), F.col("o_custkey").alias("year"))
     rows = areas.withColumnRenamed("feature_id", "id").join(years, "id").withColumns({c: F.round(c, 6) for c in ("a_roof_flat_m2", "a_wall_m2", "a_ground_m2")})
     return energy.screen(rows, 2800.0, bands, tie="id").select("id", "rank", F.round("annual_kwh", 3).alias("annual_kwh"))
