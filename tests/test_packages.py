@@ -155,3 +155,69 @@ def test_document(spark, tmp_path):
     (tmp_path / "d.city.json").write_text(json.dumps(document, indent=1))
     df = featurejson.read(spark, str(tmp_path / "d.city.json"), sequence=False)
     assert {r["id"]: r["feature_id"] for r in df.collect()} == {"b1": "b1", "p1": "b1"}
+
+
+def test_crawl_visits_each_document_once(spark, tmp_path):
+    docs = {"catalog.json": ("root", "Catalog", [("child", "./a/collection.json"), ("self", "./catalog.json")]), "a/collection.json": ("a", "Collection", [("item", "x/item.json"), ("root", "../catalog.json"), ("child", "../catalog.json")]), "a/x/item.json": ("x", "Feature", [])}
+    for name, (ident, kind, links) in docs.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps({"id": ident, "type": kind, "links": [{"rel": r, "href": h} for r, h in links]}))
+    found = read.crawl(spark, f"file://{tmp_path}/catalog.json").collect()
+    assert sorted((r["id"], r["type"], r["depth"]) for r in found) == [("a", "Collection", 1), ("root", "Catalog", 0), ("x", "Feature", 2)]
+    (tmp_path / "a/x/item.json").unlink()
+    with pytest.raises(Exception):
+        read.crawl(spark, f"file://{tmp_path}/catalog.json").collect()
+
+
+def rich_lines():
+    """A feature with an address, points, lines, an instance of a template, materials and textures; and one that shares a material."""
+    head = HEADER | {"geometry-templates": {"templates": [{"type": "MultiSurface", "lod": "1", "boundaries": [[[0, 1, 2]]]}], "vertices-templates": [[0, 0, 0], [1, 0, 0], [0, 1, 2]]}}
+    red, blue, brick = {"name": "red", "diffuseColor": [0.9, 0.1, 0.1], "gloss": "much"}, {"name": "blue", "transparency": 0.5}, {"type": "JPG", "image": "brick.jpg", "wrapMode": "wrap"}
+    first = feature(1)
+    solid = first["CityObjects"]["p1"]["geometry"][0]
+    solid["material"] = {"day": {"values": [[0, 1, None, 0, 0, 0]]}, "night": {"value": 1}}
+    solid["texture"] = {"day": {"values": [[[[0, 0, 1, 2, 3]], [[None]], [[None]], [[None]], [[None]], [[None]]]]}}
+    first["appearance"] = {"materials": [red, blue], "textures": [brick], "vertices-texture": [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]}
+    first["CityObjects"]["b1"] |= {"address": [{"locality": "Here", "thoroughfareName": "Street", "postcode": "1", "unknown": "x", "country": 7, "location": {"type": "MultiPoint", "lod": "0", "boundaries": [0]}}, {"postBox": "9"}]}
+    first["CityObjects"] |= {
+        "t1": {"type": "SolitaryVegetationObject", "geometry": [{"type": "GeometryInstance", "template": 0, "boundaries": [7], "transformationMatrix": [2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1]}]},
+        "r1": {"type": "Road", "geometry": [{"type": "MultiLineString", "lod": "0", "boundaries": [[0, 1, 3], [2, 3]]}, {"type": "MultiPoint", "lod": "1", "boundaries": [4, 5]}]},
+    }
+    second = feature(2, 5000)
+    second["CityObjects"]["p2"]["geometry"][0]["material"] = {"day": {"value": 0}}
+    second["appearance"] = {"materials": [red]}
+    return [head, first, second]
+
+
+def test_rich_features_survive_the_round_trip(spark, tmp_path):
+    (tmp_path / "rich.city.jsonl").write_text("\n".join(map(json.dumps, rich_lines())))
+    path = str(tmp_path / "rich.city.jsonl")
+    rows = featurejson.read(spark, path).drop("coercion_failures")
+    lines, head = featurejson.features(spark, path), featurejson.header(spark, path)
+    by_id = {r["id"]: r for r in rows.collect()}
+    assert by_id["b1"]["address"][0]["city"] == "Here" and by_id["b1"]["address"][0]["country"] is None and by_id["b1"]["address"][1]["po_box"] == "9"
+    day, night = by_id["p1"]["material_lod2_2"]["day"], by_id["p1"]["material_lod2_2"]["night"]
+    assert day[2] is None and day[0] == day[3] != day[1] and night == [day[1]] * 6 and by_id["p2"]["material_lod2_2"]["day"] == [day[0]] * 6
+    ring = by_id["p1"]["texture_lod2_2"]["day"][0][0]
+    assert ring["uv"] == [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]] and by_id["p1"]["texture_lod2_2"]["day"][1] == [None]
+    materials, textures = featurejson.materials(lines), featurejson.textures(lines)
+    named = {r["name"]: r for r in materials.collect()}
+    assert named["red"]["id"] == day[0] and named["red"]["diffuseColor"] == [0.9, 0.1, 0.1] and json.loads(named["red"]["other"]) == {"gloss": "much"} and named["blue"]["transparency"] == 0.5
+    assert textures.first()["image_uri"] == "brick.jpg" and textures.first()["id"] == ring["id"]
+    tree = by_id["t1"]
+    assert tree["implicit_geometry"]["id"] == 0 and (tree["bbox"]["xmin"], tree["bbox"]["xmax"], tree["bbox"]["zmax"]) == (11.0, 13.0, 6.0)
+    shapes = featurejson.templates(spark, head)
+    assert shapes.count() == 1 and by_id["r1"]["geometry_properties_lod0_0"]["type"] == "MultiLineString"
+
+    back = str(tmp_path / "back")
+    out.write_sequence(rows, back, "EPSG:7415", translate=(10.0, 20.0, 0.0), materials=materials, textures=textures, templates=shapes)
+    again = featurejson.read(spark, back).drop("coercion_failures")
+    key = lambda df: {r["id"]: {c: r[c] for c in df.columns} for r in df.collect()}
+    one, two = key(rows), key(again)
+    assert set(rows.columns) == set(again.columns)
+    for i, row in one.items():
+        assert {c: str(v) for c, v in row.items()} == {c: str(two[i][c]) for c in row}, i
+    known = lambda df: {tuple(map(str, r)) for r in df.collect()}
+    assert known(featurejson.materials(featurejson.features(spark, back))) == known(materials) and known(featurejson.templates(spark, featurejson.header(spark, back)).drop("geometry_lod1_0")) == known(shapes.drop("geometry_lod1_0"))
+    packages.write(rows, str(tmp_path / "pkg"), sidecars={"materials": materials, "textures": textures, "implicit_geometries": shapes})
+    assert set(read.open_package(spark, str(tmp_path / "pkg")).sidecars) == {"materials", "textures", "implicit_geometries"}

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from urbis.model import ddl
 
 # ISO WKB type codes with z.
-POINT_Z, POLYGON_Z, MULTIPOINT_Z, MULTILINE_Z, MULTIPOLYGON_Z, COLLECTION_Z, SURFACE_Z, TRIANGLE_Z = 1001, 1003, 1004, 1005, 1006, 1007, 1015, 1017
+POINT_Z, LINE_Z, POLYGON_Z, MULTIPOINT_Z, MULTILINE_Z, MULTIPOLYGON_Z, COLLECTION_Z, SURFACE_Z, TRIANGLE_Z = 1001, 1002, 1003, 1004, 1005, 1006, 1007, 1015, 1017
 _FACES = (MULTIPOLYGON_Z, SURFACE_Z)
 
 
@@ -377,6 +377,50 @@ def encode(faces: list[list[list[tuple[float, float, float]]]], kind: int = SURF
     return struct.pack("<BII", 1, kind, written) + b"".join(out), dropped
 
 
+def encode_parts(parts: list[list[tuple[float, float, float]]], kind: int) -> bytes:
+    """WKB of points (MULTIPOINT_Z, one point a part) or lines (MULTILINE_Z)."""
+    out = [struct.pack("<BII", 1, kind, len(parts))]
+    for part in parts:
+        head = struct.pack("<BI", 1, POINT_Z) if kind == MULTIPOINT_Z else struct.pack("<BII", 1, LINE_Z, len(part))
+        out.append(head + b"".join(struct.pack("<3d", *map(float, p)) for p in part))
+    return b"".join(out)
+
+
+def decode_parts(data: bytes) -> list[list[tuple[float, float, float]]]:
+    """Points of each part of a point, points or lines; inverse of encode_parts()."""
+
+    def part(at: int) -> tuple[list[tuple], int]:
+        if len(data) < at + 5 or data[at] != 1:
+            raise WkbError("not little-endian")
+        (kind,), at, n = struct.unpack_from("<I", data, at + 1), at + 5, 1
+        if kind == LINE_Z:
+            (n,), at = struct.unpack_from("<I", data, at), at + 4
+        elif kind != POINT_Z:
+            raise WkbError(f"unsupported part type {kind}")
+        if len(data) < at + 24 * n:
+            raise WkbError("truncated geometry")
+        return [struct.unpack_from("<3d", data, at + 24 * k) for k in range(n)], at + 24 * n
+
+    if len(data) < 9:
+        raise WkbError("truncated geometry")
+    kind, n = struct.unpack_from("<II", data, 1)
+    if kind == POINT_Z:
+        return [part(0)[0]]
+    if kind not in (MULTIPOINT_Z, MULTILINE_Z):
+        raise WkbError(f"unsupported type {kind}")
+    out, at = [], 9
+    for _ in range(n):
+        points, at = part(at)
+        out.append(points)
+    if at != len(data):
+        raise WkbError("bytes after the geometry")
+    return out
+
+
+def point(xyz: tuple[float, float, float]) -> bytes:
+    return struct.pack("<BI3d", 1, POINT_Z, *map(float, xyz))
+
+
 def box_template() -> tuple[bytes, np.ndarray, np.ndarray]:
     """WKB of the unit cube, the byte places of its coordinates, and which corner (0/1 per axis) each takes."""
     c = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]

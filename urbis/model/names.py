@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 # Reserved columns, per-LoD prefixes, and (class in documents, class stored, module, parent class).
 RESERVED = ("id", "feature_id", "object_type", "parents", "children", "children_roles", "address", "bbox", "implicit_geometry", "other")
+# Address members of documents and their columns.
+ADDRESS = {"thoroughfareName": "street", "thoroughfareNumber": "house_number", "postcode": "zip_code", "locality": "city", "administrativeArea": "state", "country": "country", "postBox": "po_box", "freeText": "free_text"}
 DOCUMENT_TYPE, FEATURE_TYPE = "CityJSON", "CityJSONFeature"
 LOD_PREFIXES = ("geometry_properties", "geometry", "material", "texture")
 CLASSES = (

@@ -274,6 +274,31 @@ def visit_totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum(F.greatest(F.size("children"), F.lit(0))), F.lit(0)).alias("child_refs"), values.cast("bigint").alias("attribute_values"))
 
 
+def id_lookup_visit(df: DataFrame, object_id: str) -> DataFrame:
+    """visit_totals() of the object of this id; zeros if there is none."""
+    return visit_totals(id_lookup(df, object_id))
+
+
+def feature_lookup_visit(df: DataFrame, feature_id: str) -> DataFrame:
+    """visit_totals() of all objects of a feature."""
+    return visit_totals(feature_lookup(df, feature_id))
+
+
+def level_min(df: DataFrame, level: str, depth: str) -> DataFrame:
+    """df with level_min, the smallest depth of the row's level.
+
+    The window min(depth) OVER (PARTITION BY level), as an aggregate that is joined back: levels are few, and a
+    window would sort each level's rows in one task. A null level is a level of its own.
+    """
+    least = df.groupBy(F.col(level).alias("__level")).agg(F.min(depth).alias("level_min"))
+    return df.join(least, F.col(level).eqNullSafe(F.col("__level")), "left").drop("__level")
+
+
+def member(values: Column, place: int, name: str) -> Column:
+    """A member of one entry of a list of structs, counted from 0; null beyond the list."""
+    return F.get(values, F.lit(place))[name]
+
+
 def answer_digest(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Count and order-independent digest of a set of ids: the exclusive or of 60 bits of their MD5."""
     bits = F.conv(F.substring(F.md5(F.col(id_col).cast("binary")), 1, 15), 16, 10).cast("bigint")

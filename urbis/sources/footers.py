@@ -105,3 +105,24 @@ def box_ranges(box: tuple[float, ...], bbox: str = "bbox") -> dict[str, tuple[fl
     """explain_pruning ranges of a closed 3D window."""
     x0, y0, z0, x1, y1, z1 = box
     return {f"{bbox}.{a}min": (None, high) for a, high in zip("xyz", (x1, y1, z1), strict=True)} | {f"{bbox}.{a}max": (low, None) for a, low in zip("xyz", (x0, y0, z0), strict=True)}
+
+
+def lookup_stats(explained: list[DataFrame]) -> DataFrame:
+    """Sum of explain_pruning() over several tables: files and async reads add up alike."""
+    out = explained[0]
+    for df in explained[1:]:
+        out = out.unionByName(df)
+    return out.agg(F.sum("row_groups").alias("row_groups"), F.sum("kept").alias("kept"))
+
+
+def total_rows(groups: DataFrame) -> DataFrame:
+    """One row: the rows of all files, from their footers."""
+    each = groups.groupBy("path", "row_group").agg(F.max("n_rows").alias("n"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+
+
+def extremes(groups: DataFrame, names: list[str]) -> DataFrame:
+    """column_name, low and high of columns, from the row groups' statistics; null if a row group with values lacks them."""
+    some = groups.where(F.col("column_name").isin(names) & (F.coalesce("null_count", F.lit(0)) < F.col("n_rows")))
+    known = F.bool_and("has_stats")
+    return some.groupBy("column_name").agg(F.when(known, F.min("min_value")).alias("low"), F.when(known, F.max("max_value")).alias("high"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import posixpath
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,36 @@ def catalogue_links(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.explode(links).alias("l")).select("l.rel", "l.href", "l.title")
 
 
+def _resolved(base: str, href: str) -> str:
+    """A link of the document at `base`, as a path of its store."""
+    if "://" in href:
+        return href
+    at = urlsplit(base)
+    return f"{at.scheme}://{at.netloc}{posixpath.normpath(posixpath.join(posixpath.dirname(at.path), href))}"
+
+
+def crawl(spark: SparkSession, path: str, max_depth: int = 20) -> DataFrame:
+    """(href, id, type, depth) of a STAC document and all it leads to over child and item links, each once.
+
+    One read a level, on any store that Spark reads; links to other documents are resolved against their own
+    place. A linked document that is not there raises.
+    """
+    seen: dict[str, int] = {}
+    level, out = [path], None
+    for depth in range(max_depth + 1):
+        level = [p for p in dict.fromkeys(level) if p not in seen]
+        if not level:
+            return out
+        seen |= dict.fromkeys(level, depth)
+        docs = spark.read.text(level, wholetext=True).select(F.col("_metadata.file_path").alias("href"), "value")
+        found = docs.select("href", F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.type").alias("type"), F.lit(depth).alias("depth"))
+        out = found if out is None else out.unionByName(found)
+        links = docs.select("href", F.explode(F.from_json(F.get_json_object("value", "$.links"), "array<struct<rel: string, href: string>>")).alias("l"))
+        targets = links.where("l.rel IN ('child', 'item')").select("href", "l.href").toDF("base", "href").collect()
+        level = [_resolved(t["base"], t["href"]) for t in targets]
+    raise RecursionError(f"deeper than {max_depth}")
+
+
 def items_at(spark: SparkSession, path: str, x: float, y: float) -> DataFrame:
     """Ids of STAC Items whose bbox (four or six numbers) holds a point."""
     items = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.id").alias("id"), F.from_json(F.get_json_object("value", "$.bbox"), "array<double>").alias("b"))
