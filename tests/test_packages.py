@@ -221,3 +221,37 @@ def test_rich_features_survive_the_round_trip(spark, tmp_path):
     assert known(featurejson.materials(featurejson.features(spark, back))) == known(materials) and known(featurejson.templates(spark, featurejson.header(spark, back)).drop("geometry_lod1_0")) == known(shapes.drop("geometry_lod1_0"))
     packages.write(rows, str(tmp_path / "pkg"), sidecars={"materials": materials, "textures": textures, "implicit_geometries": shapes})
     assert set(read.open_package(spark, str(tmp_path / "pkg")).sidecars) == {"materials", "textures", "implicit_geometries"}
+
+
+def test_package_validation_finds_each_fault(spark, tmp_path):
+    (tmp_path / "rich.city.jsonl").write_text("\n".join(map(json.dumps, rich_lines())))
+    path = str(tmp_path / "rich.city.jsonl")
+    rows = featurejson.read(spark, path).drop("coercion_failures")
+    lines, head = featurejson.features(spark, path), featurejson.header(spark, path)
+    sides = {"materials": featurejson.materials(lines), "textures": featurejson.textures(lines), "implicit_geometries": featurejson.templates(spark, head)}
+    packages.write(rows, str(tmp_path / "good"), sidecars=sides, crs="EPSG:7415")
+    good = validate.validate_package(read.open_package(spark, str(tmp_path / "good")))
+    assert {(r["check_name"], r["object_id"]) for r in good.collect()} == set()
+
+    codes = lambda df: {(r["check_name"], r["object_id"]) for r in df.collect()}
+    from pyspark.sql import functions as F
+
+    flat = rows.withColumn("bbox", F.when(F.col("id") == "b1", F.col("bbox").withField("zmax", F.lit(0.5))).otherwise(F.col("bbox")))
+    assert codes(validate.validate_boxes(flat)) == {("value.bbox-subtree", "b1")}
+    assert codes(validate.validate_sidecars(rows, {k: v.where("false") for k, v in sides.items()})) == {("value.material", "p1"), ("value.material", "p2"), ("value.texture", "p1"), ("value.implicit-geometry", "t1")}
+    odd = sides["textures"].withColumns({"borderColor": F.array(F.lit(2.0)), "wrapMode": F.lit("round"), "image_uri": F.lit(None).cast("string")})
+    assert {c for c, _ in codes(validate.validate_sidecars(rows, sides | {"textures": odd}))} == {"value.colour", "value.enumeration", "value.texture-image"}
+    ordered = spark.createDataFrame([("a", "a", 1), ("b", "b", 2), ("c", "a", 3), ("d", "e", 4), ("e", "e", 5)], "id string, feature_id string, place int")
+    assert codes(validate.validate_order("t", ordered, "place")) == {("value.feature-contiguity", "a"), ("value.feature-root-order", "e")}
+    i = F.col("implicit_geometry")
+    broken = rows.withColumns({
+        "implicit_geometry": F.when(i.isNotNull(), i.withField("transformationMatrix", F.array(*map(F.lit, [1.0] * 16)))), "custom": F.lit("x"), "when": F.lit(None).cast("timestamp_ntz"),
+        "address": F.when(F.col("address").isNotNull(), F.transform("address", lambda a: a.withField("location", F.lit(b"x")))), "bbox": F.when(F.col("id") == "r1", F.col("bbox").withField("xmin", F.lit(float("nan")))).otherwise(F.col("bbox")),
+        "material_lod2_2": F.when(F.col("id") == "p2", F.create_map(F.lit("day"), F.array(F.lit(1).cast("bigint")))).otherwise(F.col("material_lod2_2")), "geometry_properties_lod0_0": F.col("geometry_properties_lod0_0").withField("type", F.lit("Blob")),
+    })
+    found = codes(validate.validate({"building": broken}))
+    assert {("value.implicit-geometry", "t1"), ("value.other-collision", "p1"), ("attribute.timestamp-utc", None), ("value.address-location", "b1"), ("value.bbox", "r1"), ("value.material", "p2"), ("value.properties-type", "r1")} <= found
+    package = read.open_package(spark, str(tmp_path / "good"))
+    package.manifest = {"type": "Thing", "assets": {"building": {"href": "./x.csv", "roles": ["sidecar"]}, "materials": {"href": "./materials.parquet", "roles": []}, "odd": {"href": "./building.parquet", "roles": ["object-table"]}}}
+    assert {f[0] for f in validate.manifest_findings(package, ["building.parquet", "materials.parquet", "more.parquet"])} == {"stac.not-an-item", "stac.missing", "stac.datetime", "stac.asset-role-mismatch", "stac.asset-missing-file", "stac.file-extension", "stac.asset-role", "package.object-table-name", "stac.file-not-an-asset"}
+    assert validate.manifest_text_findings("{") == ["stac.invalid-json"] and validate.manifest_text_findings("{}") == []

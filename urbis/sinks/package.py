@@ -45,7 +45,7 @@ def in_curve_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
     keyed = placed.drop("__place").join(family, "feature_id").withColumn("__child", F.col("id") != F.col("feature_id"))
     order = ["__family", "feature_id", "__child", "id"]
     ranged = keyed.repartitionByRange(partitions, "__family", "feature_id") if partitions else keyed.repartitionByRange("__family", "feature_id")
-    return ranged.sortWithinPartitions(*order).drop("__family", "__child")
+    return ranged.sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def repeated_ids(df: DataFrame) -> list[str]:
