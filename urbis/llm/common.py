@@ -28,6 +28,10 @@ _R_INV = pow(_R, -1, 2**64)
 _POWERS: list[np.ndarray] = []
 
 
+#: Temporary folders of local sessions that name no shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder that the session names in spark.checkpoint.dir.
 
@@ -37,8 +41,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="urbis-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="urbis-shared-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
