@@ -32,13 +32,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", cpus)
+    folder = tempfile.mkdtemp(prefix="bench-")
+    builder = builder.config("spark.checkpoint.dir", f"file://{folder}/shared")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took: dict[str, float] = {}
-    folder = tempfile.mkdtemp(prefix="bench-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}/shared")
     start = time.perf_counter()
     city_view.store(spark, sf_dir, f"file://{folder}/city")
     print("stored", round(time.perf_counter() - start, 1), file=sys.stderr)

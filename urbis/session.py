@@ -24,14 +24,18 @@ def session(name: str = "urbis", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Temporary folders of local sessions that name no shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset, a local session (as in tests) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="urbis-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="urbis-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
