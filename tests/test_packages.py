@@ -255,3 +255,24 @@ def test_package_validation_finds_each_fault(spark, tmp_path):
     package.manifest = {"type": "Thing", "assets": {"building": {"href": "./x.csv", "roles": ["sidecar"]}, "materials": {"href": "./materials.parquet", "roles": []}, "odd": {"href": "./building.parquet", "roles": ["object-table"]}}}
     assert {f[0] for f in validate.manifest_findings(package, ["building.parquet", "materials.parquet", "more.parquet"])} == {"stac.not-an-item", "stac.missing", "stac.datetime", "stac.asset-role-mismatch", "stac.asset-missing-file", "stac.file-extension", "stac.asset-role", "package.object-table-name", "stac.file-not-an-asset"}
     assert validate.manifest_text_findings("{") == ["stac.invalid-json"] and validate.manifest_text_findings("{}") == []
+
+
+def test_ingest_touches_only_related_families(spark, tmp_path):
+    kind = "id string, feature_id string, object_type string, parents array<string>, children array<string>, bbox struct<xmin: double, ymin: double, zmin: double, xmax: double, ymax: double, zmax: double>, n int"
+    row = lambda i, t, parents, children, x: (i, i, t, parents, children, (x, 0.0, 0.0, x + 1, 1.0, 1.0), 1)
+    data = lake.Catalog(spark, f"file://{tmp_path}/lake").create("city")
+    data.ingest(spark.createDataFrame([row("b1", "Building", None, ["p9"], 0.0), row("b2", "Building", None, None, 5.0), row("r1", "Road", None, None, 9.0)], kind))
+    first = data.state()["tables"]
+    data.ingest(spark.createDataFrame([row("b3", "Building", None, ["p3"], 20.0), row("p3", "BuildingPart", ["b3"], None, 21.0)], kind))
+    second = data.state()["tables"]
+    assert second["building"][0] == first["building"][0] and len(second["building"]) == 2 and second["transportation"] == first["transportation"]
+    data.ingest(spark.createDataFrame([row("p9", "BuildingPart", None, None, 40.0), row("p2", "BuildingPart", ["b2"], None, 50.0)], kind))
+    third = data.state()["tables"]
+    assert len(third["building"]) == 1 and third["transportation"] == first["transportation"]
+    once = {r["id"]: (r["feature_id"], r["parents"], sorted(r["children"] or []), r["bbox"]["xmax"]) for r in data.objects().collect()}
+    assert once == {"b1": ("b1", None, ["p9"], 41.0), "b2": ("b2", None, ["p2"], 51.0), "b3": ("b3", None, ["p3"], 22.0), "p9": ("b1", ["b1"], [], 41.0), "p2": ("b2", ["b2"], [], 51.0), "p3": ("b3", ["b3"], [], 22.0), "r1": ("r1", None, [], 10.0)}
+    data.reconcile()
+    assert {r["id"]: (r["feature_id"], r["parents"], sorted(r["children"] or []), r["bbox"]["xmax"]) for r in data.objects().collect()} == once
+    data.ingest(spark.createDataFrame([row("b7", "Building", None, None, 70.0)], kind))
+    data.compact()
+    assert [len(f) for f in data.state()["tables"].values()] == [1, 1] and data.vacuum() > 0 and data.objects().count() == 8

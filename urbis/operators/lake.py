@@ -1,8 +1,9 @@
 """Datasets with versions: create, ingest, update, delete, reconcile, merge, validate, vacuum, compact.
 
 A dataset is a folder of immutable versions. A change computes new tables, writes them, and commits a
-version file that names them by a rename that fails if another writer was first. Unchanged tables are
-named again, not copied. Readers always see one whole version.
+version file that names them by a rename that fails if another writer was first. A table is a list of
+folders: unchanged ones are named again, not copied, and rows that touch no family of the dataset are
+appended as a folder of their own. Readers always see one whole version.
 """
 
 from __future__ import annotations
@@ -77,17 +78,22 @@ class Dataset:
         return json.loads(self.store.read("versions", f"v{version or self.version():08d}"))
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
-        return {n: self.spark.read.parquet(f"{self.store.root}/data/{folder}") for n, folder in self.state(version)["tables"].items()}
+        out = {}
+        for name, folders in self.state(version)["tables"].items():
+            for folder in folders:
+                df = self.spark.read.parquet(f"{self.store.root}/data/{folder}")
+                out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
+        return out
 
     def objects(self, version: int | None = None) -> DataFrame:
         return union_tables(self.tables(version)).drop("table_name")
 
-    def _commit(self, base: int, changed: dict[str, DataFrame], crs: object = None, dropped: tuple[str, ...] = ()) -> int:
+    def _commit(self, base: int, changed: dict[str, DataFrame], crs: object = None, dropped: tuple[str, ...] = (), appended: dict[str, DataFrame] | None = None) -> int:
         state = self.state(base)
-        for name, df in changed.items():
+        for name, df, before in [*((n, df, []) for n, df in changed.items()), *((n, df, state["tables"].get(n, [])) for n, df in (appended or {}).items())]:
             folder = f"{name}-{uuid.uuid4().hex}"
             df.write.option("compression", "zstd").parquet(f"{self.store.root}/data/{folder}")
-            state["tables"][name] = folder
+            state["tables"][name] = [*before, folder]
         for name in dropped:
             state["tables"].pop(name, None)
         state["crs"] = crs if crs is not None else state["crs"]
@@ -102,7 +108,11 @@ class Dataset:
     # Changes
 
     def ingest(self, objects: DataFrame, crs: object = None) -> int:
-        """Add rows. A repeated id, an unroutable class or another CRS refuses all of them; derived state is rebuilt."""
+        """Add rows. A repeated id, an unroutable class or another CRS refuses all of them.
+
+        Derived state is rebuilt for the new rows and for the families that they name or that name them; only
+        tables that hold rows of these are written again.
+        """
         base = self.version()
         self._check_crs(crs)
         routed = checkpointed(objects.withColumn("__module", module_column(F.col("object_type"))))
@@ -113,11 +123,24 @@ class Dataset:
         if clash := [r[0] for r in twice.limit(5).collect()]:
             raise SchemaError(f"ids are there already or repeated: {clash}")
         added = {m: routed.where(F.col("__module") == m).drop("__module") for m in sorted(r[0] for r in routed.select("__module").distinct().collect())}
-        merged = {m: own[m].unionByName(df, allowMissingColumns=True) if m in own else df for m, df in added.items()}
-        everything = own | merged
-        if not everything:
+        if not added:
             return base
-        return self._commit(base, _reconciled(everything, set(merged)), crs)
+        touched = self._touched(own, routed) if own else None
+        if touched is None or touched.isEmpty():
+            return self._commit(base, {}, crs, appended=_reconciled(added, set(added)))
+        near = {n: df.join(touched, "feature_id", "left_semi").select(*df.columns) for n, df in own.items()}
+        near = {n: df for n, df in near.items() if n in added or not df.isEmpty()}
+        subset = {n: near[n].unionByName(added[n], allowMissingColumns=True) if n in near and n in added else near.get(n, added.get(n)) for n in {*near, *added}}
+        derived = _reconciled(subset, set(subset))
+        again = {n: own[n].join(touched, "feature_id", "left_anti").select(*own[n].columns).unionByName(derived[n], allowMissingColumns=True) for n in near if not near[n].isEmpty()}
+        return self._commit(base, again, crs, appended={n: derived[n] for n in derived if n not in again})
+
+    def _touched(self, own: dict[str, DataFrame], added: DataFrame) -> DataFrame:
+        """feature_id of the families that new rows name, or that name new rows (a written table)."""
+        whole = union_tables(own).select("id", "feature_id", "parents", "children")
+        named = added.select(F.explode(F.concat(*(F.coalesce(F.col(c), F.array().cast(T.ArrayType(T.StringType()))) for c in ("parents", "children")))).alias("id")).distinct()
+        naming = whole.select("feature_id", F.explode(F.concat(*(F.coalesce(F.col(c), F.array().cast(T.ArrayType(T.StringType()))) for c in ("parents", "children")))).alias("id"))
+        return checkpointed(whole.join(named, "id", "left_semi").select("feature_id").unionByName(naming.join(added.select("id"), "id", "left_semi").select("feature_id")).distinct())
 
     def delete(self, predicate: str) -> DataFrame:
         """Delete matching rows and all they reach over children (not over feature_id); scrub remaining children lists.
@@ -175,12 +198,14 @@ class Dataset:
         return self.ingest(package.objects().drop("table_name"), package.crs)
 
     def compact(self, target_bytes: int = 128 << 20) -> int:
-        """Rewrite each table in files of about target_bytes (by its stored size); sidecars stay."""
+        """Rewrite each table of several folders or many files in files of about target_bytes (sizes from the listing); sidecars stay."""
         base, changed = self.version(), {}
+        folders = self.state(base)["tables"]
         for name, df in self.tables(base).items():
-            sizes = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct().agg(F.sum("n"), F.count(F.lit(1))).first()
+            listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{self.store.root}/data/{f}" for f in folders[name]])
+            sizes = listed.agg(F.sum("length"), F.count(F.lit(1))).first()
             files = max(1, -(-(sizes[0] or 0) // target_bytes))
-            if (sizes[1] or 0) > files:
+            if (sizes[1] or 0) > files or len(folders[name]) > 1:
                 changed[name] = df.coalesce(files)  # narrow: keeps the stored order
         return self._commit(base, changed) if changed else base
 
@@ -188,7 +213,7 @@ class Dataset:
         """Delete tables that only versions older than the last `keep` name, and those versions."""
         last = self.version()
         numbers = [int(n[1:]) for n in self.store.names("versions") if n.startswith("v")]
-        live = {f for v in numbers if v > last - keep for f in self.state(v)["tables"].values()}
+        live = {f for v in numbers if v > last - keep for folders in self.state(v)["tables"].values() for f in folders}
         old = [f for f in self.store.names("data") if f not in live]
         for v in numbers:
             if v <= last - keep:
