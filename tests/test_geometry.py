@@ -79,3 +79,26 @@ def test_points_on_shared_borders_have_one_owner(spark):
     points = spark.createDataFrame([(0.0, 0.0), (1.0, 0.5), (2.0, 0.0), (3.0, 0.5), (0.5, 1.0), (None, 0.1)], "x double, y double")
     got = sorted((r["x"], r["k"]) for r in spatial.point_in_polygon(points, squares, 0.7).collect())
     assert got == [(0.0, 0), (1.0, 1), (2.0, 2)]
+
+
+def test_reports_and_strict_volume(spark):
+    cube, nested, apart = (wkb.encode(f)[0] for f in (box(0, 1), box(0, 4) + box(1, 3, True), box(0, 4) + box(5, 6, True)))
+    rows = [("ok", cube, [[6]]), ("one", cube, None), ("open", wkb.encode(box(0, 1)[:-1])[0], [[5]]), ("count", cube, [[5]]), ("nested", nested, [[6, 6]]), ("apart", apart, [[6, 6]]), ("bad", b"x", None), ("null", None, None)]
+    df = spark.createDataFrame(rows, "id string, g binary, s array<array<int>>")
+    got = {r["id"]: r["r"] for r in df.select("id", wkb.validation_report("g", "s").alias("r")).collect()}
+    assert {k: v and v["code"] for k, v in got.items()} == {"ok": "ok", "one": "ok", "open": "not-closed", "count": "shell-count", "nested": "ok", "apart": "not-nested", "bad": "malformed", "null": None}
+    volumes = {r["id"]: r["v"] for r in df.where("id IN ('ok', 'nested', 'null')").select("id", wkb.solid_volume("g").alias("v")).collect()}
+    assert volumes == {"ok": pytest.approx(1), "nested": pytest.approx(56), "null": None}
+    for ident in ("open", "bad"):
+        with pytest.raises(Exception):
+            df.where(F.col("id") == ident).select(wkb.solid_volume("g")).collect()
+
+
+def test_class_areas_equal_the_face_table(spark):
+    surfaces = '[{"type":"GroundSurface"},{"type":"RoofSurface"},{"type":"WallSurface"},7]'
+    slope = [[(0, 0, 0), (3, 0, 0), (3, 4, 4), (0, 4, 4)]]
+    rows = [("a", "f", wkb.encode(box(0, 2))[0], surfaces, [0, 1, 2, 2, None, 9]), ("b", "f", wkb.encode([slope, slope])[0], surfaces, [1]), ("c", "g", wkb.encode(box(0, 1))[0], None, None), ("d", "g", b"bad", surfaces, [0]), ("e", "h", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, feature_id string, g binary, surfaces string, face_semantics array<int>").withColumn("p", F.struct("surfaces", "face_semantics"))
+    by_row = {r["feature_id"]: [round(v, 9) for v in tuple(r)[1:]] for r in semantics.class_areas(semantics.faces(df, "g", "p", ["feature_id"]), "feature_id").collect()}
+    at_once = {r["feature_id"]: [round(v, 9) for v in tuple(r)[1:]] for r in semantics.solid_class_areas(df, "g", "p", "feature_id").collect()}
+    assert at_once == by_row and set(by_row) == {"f", "g"} and by_row["f"][1] > 0

@@ -276,3 +276,17 @@ def test_ingest_touches_only_related_families(spark, tmp_path):
     data.ingest(spark.createDataFrame([row("b7", "Building", None, None, 70.0)], kind))
     data.compact()
     assert [len(f) for f in data.state()["tables"].values()] == [1, 1] and data.vacuum() > 0 and data.objects().count() == 8
+
+
+def test_an_interrupted_overwrite_recovers(spark, sequence, tmp_path):
+    rows = featurejson.read(spark, sequence).drop("coercion_failures")
+    target = tmp_path / "pkg"
+    packages.write(rows, str(target))
+    target.rename(tmp_path / ".pkg-1-old")  # the first rename of an overwrite, whose new package is complete
+    packages.write(rows.where("feature_id <> 'b1'"), str(tmp_path / "new"))
+    (tmp_path / "new").rename(tmp_path / ".pkg-1")
+    assert read.open_package(spark, str(target)).objects().count() == 4
+    target.rename(tmp_path / ".pkg-2-old")  # and one whose new package is not
+    assert read.open_package(spark, str(target)).objects().count() == 4
+    (tmp_path / ".pkg-3").mkdir()
+    assert packages.purge(spark, str(target)) == [".pkg-3"] and packages.purge(spark, str(target)) == []

@@ -223,6 +223,68 @@ def solid_measures_strict(wkb: pa.Array) -> pa.Array:
 solid_measures_strict = solid_measures_strict.asNondeterministic()
 
 
+@F.arrow_udf(T.DoubleType())
+def solid_volume(wkb: pa.Array) -> pa.Array:
+    """Volume of a solid; null for null, but malformed input and a solid that is not closed raise."""
+    values = wkb.to_pylist()
+    found = measures(values, strict=True)
+    open_ones = found["known"] & ~found["is_closed"].astype(bool)
+    if open_ones.any():
+        raise WkbError(f"{int(open_ones.sum())} solids are not closed")
+    return pa.array(found["volume"], mask=~found["known"])
+
+
+solid_volume = solid_volume.asNondeterministic()
+
+REPORT = ddl.struct("is_valid boolean, code string, message string")
+
+
+def _shells_nested(layout: Layout, block: np.ndarray, shells: list[list[int]]) -> bool:
+    """Whether the boxes of each solid's inner shells lie in that of its outer one."""
+    face = 0
+    for solid in shells:
+        outer = None
+        for n in solid:
+            points = [ring_points(layout, block, f[0])[0] for f in layout.faces[face : face + n]]
+            face += n
+            if not points:
+                return False
+            every = np.concatenate(points)
+            low, high = every.min(axis=0), every.max(axis=0)
+            if outer is None:
+                outer = low, high
+            elif (low < outer[0]).any() or (high > outer[1]).any():
+                return False
+    return True
+
+
+@F.arrow_udf(REPORT)
+def validation_report(wkb: pa.Array, shells: pa.Array) -> pa.Array:
+    """Struct is_valid, code, message of a solid with its shells (face counts; null: one shell); null for null.
+
+    Codes: ok, malformed, shell-count (shells do not add up to the faces), not-closed, not-nested.
+    """
+    values, given = wkb.to_pylist(), shells.to_pylist()
+    out: list[tuple[str, str] | None] = [None if v is None else ("malformed", "no supported geometry") for v in values]
+    for rows, layout, block in grouped(values):
+        closed = _closed(layout, block)
+        for k, row in enumerate(rows.tolist()):
+            counts = given[row]
+            if counts is not None and sum(map(sum, counts)) != len(layout.faces):
+                out[row] = "shell-count", "the shells do not add up to the faces"
+            elif not closed[k]:
+                out[row] = "not-closed", "an edge is not met by its reverse exactly once"
+            elif counts is not None and not _shells_nested(layout, block[k : k + 1], counts):
+                out[row] = "not-nested", "an inner shell leaves the outer one"
+            else:
+                out[row] = "ok", ""
+    rows = [None if o is None else {"is_valid": o[0] == "ok", "code": o[0], "message": o[1]} for o in out]
+    return pa.array(rows, pa.struct([("is_valid", pa.bool_()), ("code", pa.string()), ("message", pa.string())]))
+
+
+validation_report = validation_report.asNondeterministic()
+
+
 FACE = ddl.struct("face_idx int, nx double, ny double, nz double, tilt_deg double, azimuth_deg double, area_m2 double, cx double, cy double, cz double")
 
 

@@ -17,6 +17,11 @@ def surface_type(properties: Column, face: Column) -> Column:
     return F.coalesce(F.get_json_object(entry, "$.type"), F.lit("Unknown"))
 
 
+def n_shells(properties: Column) -> Column:
+    """Shells of all solids of a geometry, by its property struct; null without any."""
+    return F.size(F.flatten(properties["shells"]))
+
+
 def faces(df: DataFrame, geometry: str, properties: str, keep: list[str]) -> DataFrame:
     """One row per face: kept columns, face_idx, semantic, and the face's metrics."""
     rows = df.select(*keep, F.col(properties).alias("p"), F.explode(face_metrics(F.col(geometry))).alias("f"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbis.functions import crs
-from urbis.functions.wkb import box_wkb, solid_measures
-from urbis.operators import accounting, lake, query, sidecars
+from urbis.functions.wkb import box_wkb, solid_measures, validation_report
+from urbis.operators import accounting, lake, query, semantics, sidecars
 from urbis.plans import city_view as city
 from urbis.plans.queries import register, rounded, table
 from urbis.session import shared_folder
@@ -123,6 +123,18 @@ def highest_level_measures(spark, sf_dir):
     return rounded(m, 4, "volume", "surface_area")
 
 
+@register("""SELECT id, NOT open AS is_valid, CASE WHEN open THEN 'not-closed' WHEN wrong THEN 'shell-count' ELSE 'ok' END AS code, 1 AS shells FROM (
+  SELECT id, split_part(id, '-', 2)::INT % 3 = 0 AND xmin::BIGINT % 2 = 0 AS open, false AS wrong FROM parts WHERE split_part(id, '-', 2)::INT % 3 = 0)""")
+def solid_reports(spark, sf_dir):
+    """Validation report and shells of the parts' LoD 2.2: closed and open boxes."""
+    rows = _levels(spark, sf_dir).where("geometry_lod2_2 IS NOT NULL")
+    n = F.when(F.col("p") % 2 == 0, 5).otherwise(6)
+    p = F.struct(F.array(F.array(n)).alias("shells"))
+    rows = rows.select("id", p.alias("properties"), "geometry_lod2_2")
+    report = validation_report(F.col("geometry_lod2_2"), F.col("properties.shells"))
+    return rows.select("id", report.alias("r"), semantics.n_shells(F.col("properties")).alias("shells")).select("id", "r.is_valid", "r.code", "shells")
+
+
 # Stored packages and their footers
 
 
@@ -221,6 +233,29 @@ def sequence_attributes(spark, sf_dir):
     return featurejson.read(spark, _lines(spark, sf_dir)).select("id", "name", "balance", "nation")
 
 
+@register("SELECT 'C' || c_custkey AS id, c_name AS street, n_name AS city, r_name AS material, 6 AS faces, r_regionkey / 10.0 AS transparency FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey", with_city=False)
+def appearance_round_trip(spark, sf_dir):
+    """Buildings with an address and a material a face, written with their definitions, read back and joined with these."""
+    path = f"{shared_folder(spark)}/rich-{uuid.uuid4().hex}"
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    missing = [F.lit(None).cast("string").alias(n) for n in ("house_number", "po_box", "zip_code")]
+    rest = [F.lit(None).cast("string").alias(n) for n in ("state", "country", "free_text")]
+    address = F.array(F.struct(F.col("name").alias("street"), *missing, F.col("n_name").alias("city"), *rest, F.lit(None).cast("binary").alias("location")))
+    one, x = F.lit(1.0), F.substring("id", 2, 20).cast("double")
+    rows = _customers(spark, sf_dir).drop("bbox").join(F.broadcast(nation), F.col("nation") == F.col("n_nationkey"))
+    rows = rows.select(
+        "id", "feature_id", "object_type", "parents", "children", address.alias("address"), box_wkb(x, one, one, one, one, one).alias("geometry_lod1_0"),
+        F.struct(F.lit("Solid").alias("type"), F.lit(None).cast("string").alias("surfaces"), F.lit(None).cast("array<int>").alias("face_semantics"), F.array(F.array(F.lit(6))).alias("shells")).alias("geometry_properties_lod1_0"),
+        F.create_map(F.lit("day"), F.array_repeat(F.col("n_regionkey").cast("bigint"), 6)).alias("material_lod1_0"),
+    )
+    materials = region.select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") / 10.0).alias("transparency"), F.lit(None).cast("string").alias("other"))
+    out.write_sequence(rows, path, "EPSG:28992", (0.01, 0.01, 0.01), materials=materials)
+    back, known = featurejson.read(spark, path), featurejson.materials(featurejson.features(spark, path))
+    cells = back.select("id", F.col("address")[0]["street"].alias("street"), F.col("address")[0]["city"].alias("city"), F.col("material_lod1_0")["day"].alias("day"))
+    joined = cells.withColumn("entry", F.col("day")[0]).join(known.select(F.col("id").alias("entry"), F.col("name").alias("material"), "transparency"), "entry")
+    return joined.select("id", "street", "city", "material", F.size("day").alias("faces"), "transparency")
+
+
 @register("SELECT 'C' || c_custkey AS id, c_name AS name FROM customer", with_city=False)
 def stream_ingest(spark, sf_dir):
     """Feature lines from a drop folder into a dataset, by a stream that ends when it has caught up."""

@@ -13,7 +13,7 @@ from urbis.model import schema
 from urbis.model.names import LOD_PREFIXES, MODULE_OF, SchemaError, geometry_columns, module_of
 from urbis.session import checkpointed
 from urbis.sinks.recipe import ALWAYS, PRESETS, Recipe, bloom_candidates, writer_options
-from urbis.sources.package import MANIFEST
+from urbis.sources.package import MANIFEST, recover
 from urbis.store import Store
 
 
@@ -92,6 +92,7 @@ def write(objects: DataFrame, path: str, name: str = "package", recipe: Recipe =
     """
     spark = objects.sparkSession
     parent, _, last = path.rstrip("/").rpartition("/")
+    recover(spark, path)
     store, staging = Store(spark, parent), f".{last}-{uuid.uuid4().hex}"
     if store.exists(last) and not overwrite:
         raise FileExistsError(path)
@@ -121,6 +122,17 @@ def write(objects: DataFrame, path: str, name: str = "package", recipe: Recipe =
     return manifest
 
 
+def purge(spark, path: str) -> list[str]:
+    """Delete what failed writers left beside a package that is there (no writer of it may be under way); returns the names."""
+    parent, _, last = path.rstrip("/").rpartition("/")
+    recover(spark, path)
+    store = Store(spark, parent)
+    left = [n for n in store.names() if n.startswith(f".{last}-")] if store.exists(last) else []
+    for name in left:
+        store.delete(name)
+    return left
+
+
 def check_sidecar(name: str, df: DataFrame) -> DataFrame:
     """df, whose rows raise when written if a colour is not three (border: four) parts from 0 to 1."""
     for column, size in (("diffuseColor", 3), ("specularColor", 3), ("emissiveColor", 3), ("borderColor", 4)):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from urbis.model import schema
 from urbis.model.names import SchemaError, geometry_columns
 from urbis.operators.query import union_tables
+from urbis.store import Store
 
 MANIFEST = "metadata.json"
 
@@ -39,9 +40,27 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish an overwrite that stopped between its two renames: the new package takes its place, or the old one again.
+
+    Leftovers of writers beside a package that is there are deleted by sinks.package.purge(), not here.
+    """
+    parent, _, last = path.rstrip("/").rpartition("/")
+    store = Store(spark, parent)
+    if store.exists(last):
+        return
+    for name in store.names():
+        if name.startswith(f".{last}-") and name.endswith("-old"):
+            draft = name.removesuffix("-old")
+            store.rename(store.path(draft if store.exists(draft, MANIFEST) else name), store.path(last))
+            store.delete(name)
+            return
+
+
 def open_package(spark: SparkSession, path: str) -> Package:
     """Tables are read lazily; the manifest's assets name them, by role object-table or sidecar."""
     path = path.rstrip("/")
+    recover(spark, path)
     manifest = json.loads(read_text(spark, f"{path}/{MANIFEST}"))
     if manifest.get("type") != "Feature":
         raise SchemaError(f"{path}: the manifest is no STAC Item")
