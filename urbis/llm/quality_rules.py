@@ -2,10 +2,11 @@
 
 The words of a slice of texts are numbered, every text ends in a sentinel of its own, and one suffix
 array over the slice is built by prefix doubling; only suffixes whose rank is still shared are sorted
-again. Longest common prefixes of neighbours (Kasai's relation, by doubling ranks) give the LCP
-intervals; the repeated substrings that no longer substring covers are the maximal ones, and the union
-of their spans is the covered part. A text fails the method if the covered fraction or the longest
-repeated run exceeds its limit.
+again. The longest repeat that starts at a suffix is its larger common prefix with its two neighbours in
+suffix order, the depth of the deepest LCP interval that holds it; so the intervals need not be stored.
+Repeats that no longer repeat covers are the maximal ones, and the union of their spans, over all suffixes,
+is the covered part. A text fails the method if the covered fraction or the longest repeated run exceeds its
+limit.
 """
 
 from __future__ import annotations
