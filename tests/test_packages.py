@@ -290,3 +290,14 @@ def test_an_interrupted_overwrite_recovers(spark, sequence, tmp_path):
     assert read.open_package(spark, str(target)).objects().count() == 4
     (tmp_path / ".pkg-3").mkdir()
     assert packages.purge(spark, str(target)) == [".pkg-3"] and packages.purge(spark, str(target)) == []
+
+
+def test_merged_headers_and_read_arguments(spark, sequence):
+    a = featurejson.Header((0.01, 0.001, 0.1), (10, 20, 0), "EPSG:1", "2.0", ("x",))
+    b = featurejson.Header((0.001, 0.01, 0.1), (15, 5, 0), "EPSG:1", "2.0", ("y", "x"), "{}")
+    merged = featurejson.merged_header(a, b)
+    assert (merged.scale, merged.translate, merged.extensions, merged.templates) == ((0.001, 0.001, 0.1), (10, 5, 0), ("x", "y"), "{}")
+    with pytest.raises(SchemaError):
+        featurejson.merged_header(b, b)
+    assert "geometry_lod2_2" not in featurejson.read(spark, sequence, lods=["1"]).columns and "geometry_lod2_2" in featurejson.read(spark, sequence, lods=["2.2"]).columns
+    assert {r["feature_id"] for r in featurejson.read(spark, sequence, box=(14.5, 20.0, 15.5, 21.0)).collect()} == {"b2"}
