@@ -429,7 +429,7 @@ def scalar_functions(spark, sf_dir):
 def values_dimension(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     labels = spark.sql("SELECT * FROM VALUES (0, 'zero'), (2, 'two') AS v(n_regionkey, label)")
-    return nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).join(F.broadcast(labels), "n_regionkey", "left").select("n_name", "r_name", "label")
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).join(labels, "n_regionkey", "left").select("n_name", "r_name", "label")
 
 
 @register("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) ON true", with_city=False)

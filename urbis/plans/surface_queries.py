@@ -242,7 +242,7 @@ def appearance_round_trip(spark, sf_dir):
     rest = [F.lit(None).cast("string").alias(n) for n in ("state", "country", "free_text")]
     address = F.array(F.struct(F.col("name").alias("street"), *missing, F.col("n_name").alias("city"), *rest, F.lit(None).cast("binary").alias("location")))
     one, x = F.lit(1.0), F.substring("id", 2, 20).cast("double")
-    rows = _customers(spark, sf_dir).drop("bbox").join(F.broadcast(nation), F.col("nation") == F.col("n_nationkey"))
+    rows = _customers(spark, sf_dir).drop("bbox").join(nation, F.col("nation") == F.col("n_nationkey"))
     rows = rows.select(
         "id", "feature_id", "object_type", "parents", "children", address.alias("address"), box_wkb(x, one, one, one, one, one).alias("geometry_lod1_0"),
         F.struct(F.lit("Solid").alias("type"), F.lit(None).cast("string").alias("surfaces"), F.lit(None).cast("array<int>").alias("face_semantics"), F.array(F.array(F.lit(6))).alias("shells")).alias("geometry_properties_lod1_0"),

@@ -51,7 +51,8 @@ def class_closure(classes: DataFrame, root: str) -> DataFrame:
 
 
 def of_class(features: DataFrame, classes: DataFrame, root: str) -> DataFrame:
-    return features.join(F.broadcast(class_closure(classes, root).withColumnRenamed("id", "objectclass_id")), "objectclass_id", "left_semi")
+    """Features of a class or a subclass of it; Spark broadcasts the class ids if they are few."""
+    return features.join(class_closure(classes, root).withColumnRenamed("id", "objectclass_id"), "objectclass_id", "left_semi")
 
 
 def group_members(properties: DataFrame, features: DataFrame) -> DataFrame:
