@@ -199,6 +199,25 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in test]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_calibration_counts_all_rows(spark):
+    """Limits and scale from every training text: 20 odd ones of 3000 move the limit, wherever their ids fall."""
+    rnd = random.Random(5)
+    letters = {"aa": "abcdeabcd e", "bb": "abcxyzxyz y"}
+    train = [(k, "".join(rnd.choice(letters[g]) for _ in range(rnd.randint(2, 8))), g) for k, g in enumerate(sorted(letters) * 1500)]
+    train = [(k, t + " q" * (k % 40) if k % 150 == 0 else t, g) for k, t, g in train]
+    model = language_id.train(spark.createDataFrame(train, "doc_id bigint, text string, lang string").repartition(3))
+    shard = model.shard(0)
+    sums, n, letters = shard.sums([t for _, t, _ in train])
+    some = letters > 0
+    h, truth = (-sums / language_id.UNIT / np.maximum(n, 1)[:, None])[some], np.array([model.langs.index(g) for _, _, g in train])[some]
+    for k in range(2):
+        own = h[(truth == k) & (h.argmin(axis=1) == k), k]
+        assert len(own) > 800
+        assert model.limits[k] == pytest.approx(np.quantile(own, 0.995) + 3 * own.std(), abs=2e-3)
+    z = [-s * (h - h.min(axis=1, keepdims=True)) for s in language_id.SCALES]
+    assert model.scale == language_id.SCALES[np.argmin([np.mean(np.log2(np.exp2(x).sum(axis=1)) - x[np.arange(len(x)), truth]) for x in z])]
+
+
 def test_language_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.train(docs)

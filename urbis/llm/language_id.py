@@ -30,8 +30,10 @@ from urbis.llm.common import discard, finish, fold, held_out, persist, slices
 ORDER = 4
 #: Bits of a character in a packed n-gram; characters outside the BMP share the codes above 0xE000 (private use).
 BITS = 16
-#: Training rows of each language whose cross-entropies set the rejection limits and the temperature of the score.
-CALIBRATION_ROWS = 400
+#: Steps of a bit in which the calibration counts cross-entropies: bounds what it gathers, whatever the number of texts.
+STEP = 1 << 12
+#: Temperatures of the score that the calibration tries, and the fraction in which it adds up their losses.
+SCALES, LOSS_UNIT = np.exp2(np.arange(-1, 7)), 1 << 28
 #: Entries (language, 4-gram) of a shard: some 30 bytes each in the worker that holds it.
 SHARD_GRAMS = 4_000_000
 #: Logarithms (base 2) are stored as whole numbers of this fraction.
@@ -249,22 +251,45 @@ class Model:
         pick = np.array([*self.langs, "und"], object)[np.where(none, len(self.langs), best)]
         return {"lang_pred": pick, "score": np.where(none, 0.0, 1 / weight.sum(axis=1)), "cross_entropy": np.where(none, np.nan, low), "rejected": none | (low > self.limits[best])}
 
-    def calibrate(self, sums: np.ndarray, n: np.ndarray, letters: np.ndarray, truth: np.ndarray, quantile: float = 0.995) -> None:
-        """Rejection limits: a quantile of the right texts' cross-entropies, and slack. Scale: best log-likelihood."""
+    def statistics(self, sums: np.ndarray, n: np.ndarray, letters: np.ndarray, truth: np.ndarray) -> pa.RecordBatch:
+        """What texts of known languages add to the calibration, as whole numbers that may be summed in any order.
+
+        (kind, at, n): for a language's number, how many right texts have a cross-entropy of `at` steps; for -1, the
+        loss of the scale with number `at`.
+        """
         use = letters > 0
         h, truth = -sums[use] / UNIT / n[use, None], truth[use]
-        self.limits = np.full(len(self.langs), np.inf)
-        for k in range(len(self.langs)):
-            own = h[(truth == k) & (h.argmin(axis=1) == k), k]
-            if len(own) >= 20:
-                self.limits[k] = np.quantile(own, quantile) + 3 * own.std()
+        low, best = h.min(axis=1, initial=np.inf), h.argmin(axis=1)
+        right = best == truth
+        seen, times = np.unique(np.stack([best[right], np.rint(low[right] * STEP).astype(np.int64)], axis=1), axis=0, return_counts=True)
+        above = h - low[:, None]
+        losses = [int(np.rint((np.log2(np.exp2(-s * above).sum(axis=1)) + s * above[np.arange(len(h)), truth]) * LOSS_UNIT).sum()) for s in SCALES]
+        kinds = np.concatenate([seen[:, 0], np.full(len(SCALES), -1)])
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(np.concatenate([seen[:, 1], np.arange(len(SCALES))]), pa.int64()), pa.array(np.concatenate([times, losses]), pa.int64())], ["kind", "at", "n"])
+
+    def calibrate(self, summed: DataFrame, truth: str, quantile: float = 0.995) -> None:
+        """Rejection limits: a quantile of the right texts' cross-entropies, and slack. Scale: best log-likelihood.
 
-        def loss(s: float) -> float:
-            z = -s * (h - h.min(axis=1, keepdims=True))
-            return float(np.mean(np.log2(np.exp2(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
+        summed: log_sums of all training texts. Only the counts of the steps that occur and a sum a scale are gathered.
+        """
+        model, languages = Model(self.langs), len(self.langs)
 
-        if len(h):
-            self.scale = min(np.exp2(np.arange(-1, 7)), key=loss)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield model.statistics(*_arrays(part, languages), part.column(truth).to_numpy(zero_copy_only=False))
+
+        found = summed.mapInArrow(run, "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow().sort_by("at")
+        kind, at, n = (found.column(c).to_numpy() for c in ("kind", "at", "n"))
+        self.limits = np.full(languages, np.inf)
+        for k in range(languages):
+            value, times = at[kind == k] / STEP, n[kind == k]
+            if (total := times.sum()) >= 20:
+                place = quantile * (total - 1)
+                below, above = value[np.searchsorted(times.cumsum(), [np.floor(place), np.ceil(place)], "right")]
+                spread = np.sqrt(np.average((value - np.average(value, weights=times)) ** 2, weights=times))
+                self.limits[k] = below + (place - np.floor(place)) * (above - below) + 3 * spread
+        if (kind == -1).any():
+            self.scale = float(SCALES[n[kind == -1].argmin()])
 
 
 def log_sums(df: DataFrame, model: Model, keep: str, text_col: str) -> DataFrame:
@@ -305,10 +330,11 @@ def _arrays(part: pa.RecordBatch | pa.Table, languages: int) -> tuple[np.ndarray
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, languages), *(np.asarray(part.column(c)) for c in ("__n", "__letters"))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Count all of df, then calibrate on a bounded sample of each language (CALIBRATION_ROWS rows by hash of the id).
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Count all of df, then calibrate on all of it.
 
-    Gathered on the driver: languages, their count statistics and 2-grams; of the longer n-grams one shard at a time.
+    Gathered on the driver: languages, their count statistics, 2-grams and histograms of cross-entropies; of the longer
+    n-grams one shard at a time.
     """
     counts = persist(count_ngrams(df, text_col, lang_col), "langid-counts")
     triples = persist(counts.groupBy("lang", F.col("ngram").bitwiseAND((1 << (BITS * 3)) - 1).alias("ngram")).agg(F.count(F.lit(1)).alias("n")), "langid-triples")
@@ -325,12 +351,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     lang, grams, n = (pairs.column(c).to_numpy() for c in ("lang", "ngram", "n"))
     model.pairs = [(grams[lang == k], n[lang == k]) for k in range(len(model.langs))]
 
-    known = df.where(F.col(text_col).isNotNull()).select(model.language(F.col(lang_col).cast("string")).alias("__truth"), F.col(text_col), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("__mark")).where("__truth IS NOT NULL")
-    rows = {r[0]: r[1] for r in known.groupBy("__truth").agg(F.count(F.lit(1))).collect()}
-    share = F.array(*(F.lit(min(1 << 30, int(CALIBRATION_ROWS / rows.get(k, 1) * (1 << 30)))) for k in range(len(model.langs))))
-    chosen = known.where(F.col("__mark") <= F.get(share, F.col("__truth"))).limit(4 * CALIBRATION_ROWS * len(model.langs))
-    found = log_sums(chosen, model, "__truth", text_col).toArrow()
-    model.calibrate(*_arrays(found, len(model.langs)), found.column("__truth").to_numpy())
+    known = df.where(F.col(text_col).isNotNull()).select(model.language(F.col(lang_col).cast("string")).alias("__truth"), F.col(text_col)).where("__truth IS NOT NULL")
+    model.calibrate(log_sums(known, model, "__truth", text_col), "__truth")
     return model
 
 
