@@ -174,3 +174,20 @@ def test_windows_over_boxes_of_all_sizes(spark):
     got = [(r["id"], r["window_id"]) for r in spatial.window_join(objects, spark.createDataFrame(windows, "window_id int, x0 double, y0 double, x1 double, y1 double"), 5.0).collect()]
     expected = {(i, k) for i, a, b, c, d in boxes for k, x0, y0, x1, y1 in windows if a <= x1 and c >= x0 and b <= y1 and d >= y0}
     assert set(got) == expected and len(got) == len(expected) > 50
+
+
+def test_error_report_gathers_few_values(spark):
+    """The exact median without a single aggregate over all values: odd, even, tied, few and no rows."""
+    import statistics
+
+    for n, share in ((40_001, lambda k: k * 7919 % 40_001), (40_000, lambda k: k * 7919 % 40_000), (9_000, lambda k: k % 3), (4, lambda k: k), (1, lambda k: 5), (0, None)):
+        rows = spark.createDataFrame([(float(100 + share(k)), 100.0) for k in range(n)] + [(None, 1.0), (3.0, 0.0)], "v double, r double")
+        got = energy.error_report(rows, "v", "r").first()
+        values = [float(share(k)) for k in range(n)]
+        assert (got["n"], got["zero_refs"]) == (n + 1, 1)
+        assert got["median_rel_pct"] == (pytest.approx(statistics.median(values)) if n else None)
+    wide = spark.range(100_000).select((F.col("id") + 1.0).alias("v"), F.lit(1.0).alias("r"))
+    bounds = wide.agg(*energy.around(F.col("v"))).first()
+    assert wide.where(F.col("v").between(*bounds["bounds"])).count() < 100 and energy.median(wide, F.col("v"), *bounds).first()[0] == 50_000.5
+    plan = energy.error_report(wide, "v", "r")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "median(" not in plan
