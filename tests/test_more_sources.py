@@ -116,3 +116,19 @@ def test_citygml_round_trip(spark, tmp_path):
             assert all(row[c] == again[c] for c in ("feature_id", "object_type", "parents", "children", "bbox", "geometry_lod2_0", "geometry_properties_lod2_0"))
             assert again["attributes"] == '{"height": "9 < 10"}'
     assert sink.nc_name("1 a") == "_1_x20_a" and sink.nc_name("b1") == "b1"
+
+
+def test_citygml_documents_are_bounded(spark, tmp_path, monkeypatch):
+    """Many families make many whole documents, however few partitions there are."""
+    import xml.etree.ElementTree as ET
+
+    from urbis.sinks import citygml as sink
+
+    monkeypatch.setattr(sink, "DOCUMENT_CHARS", 2_000, raising=False)
+    rows = spark.range(500).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("feature_id"), F.lit("Building").alias("object_type"), F.lit(None).cast("array<string>").alias("parents"), F.repeat(F.lit("x"), 50).alias("note"))
+    sink.write(rows.coalesce(1), str(tmp_path / "many"))
+    files = list((tmp_path / "many").glob("part-*"))
+    assert len(files) > 20 and max(f.stat().st_size for f in files) < 2_500
+    assert sum(len(ET.parse(f).getroot()) for f in files) == 500
+    back = citygml.read(spark, f"{tmp_path / 'many'}/part-*")
+    assert {r["id"] for r in back.collect()} == {f"b{k}" for k in range(500)} and back.where("attributes LIKE '%xxx%'").count() == 500
