@@ -1,6 +1,8 @@
 import json
+import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from urbis.model.names import DOCUMENT_TYPE, FEATURE_TYPE, SchemaError
 from urbis.operators import lake, validate
@@ -301,3 +303,19 @@ def test_merged_headers_and_read_arguments(spark, sequence):
         featurejson.merged_header(b, b)
     assert "geometry_lod2_2" not in featurejson.read(spark, sequence, lods=["1"]).columns and "geometry_lod2_2" in featurejson.read(spark, sequence, lods=["2.2"]).columns
     assert {r["feature_id"] for r in featurejson.read(spark, sequence, box=(14.5, 20.0, 15.5, 21.0)).collect()} == {"b2"}
+
+
+def test_a_written_package_leaves_no_copy_of_its_rows(spark, sequence, tmp_path):
+    """The shared folder holds after a write, good or refused, what it held before."""
+    from urbis.session import shared_folder
+
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    rows = featurejson.read(spark, sequence).drop("coercion_failures")
+    files = lambda: {p for p in shared.rglob("*") if p.is_file()}
+    before = files()
+    packages.write(rows.withColumn("geometry_lod1_0", F.lit(None)), str(tmp_path / "pkg"))
+    with pytest.raises(SchemaError):
+        packages.write(rows.unionByName(rows), str(tmp_path / "twice"))
+    assert files() == before
+    package = read.open_package(spark, str(tmp_path / "pkg"))
+    assert package.objects().count() == rows.count() and "geometry_lod1_0" not in package.objects().columns
