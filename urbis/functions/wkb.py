@@ -7,6 +7,7 @@ group is one array of coordinates and is decoded and measured without a loop ove
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -510,3 +511,100 @@ def box_wkb(x: pa.Array, y: pa.Array, z: pa.Array, dx: pa.Array, dy: pa.Array, d
         block[:, place : place + 8] = value.astype("<f8").view(np.uint8).reshape(n, 8)
     whole = pa.py_buffer(block.tobytes())
     return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * len(_BOX)).astype(np.int32).tobytes()), whole])
+
+
+#: A geometry as its form (layout, headers, and which number stands where) and the bits of its distinct coordinates.
+PACKED = ddl.struct("form binary, numbers array<bigint>")
+_RAW, _FORM = b"\0", b"\1"
+
+
+def _places(layout: Layout) -> np.ndarray:
+    """Byte places of all coordinates."""
+    return np.concatenate([np.arange(at, at + 24 * size, 8) for at, size in layout.rings] or [np.zeros(0, int)]).astype("<u4")
+
+
+def _form(block: np.ndarray, places: np.ndarray, number: np.ndarray) -> bytes:
+    rest = block.copy()
+    rest[places[:, None] + np.arange(8)] = 0
+    return _FORM + zlib.compress(struct.pack("<I", len(places)) + places.tobytes() + number.astype("<u4").tobytes() + rest.tobytes(), 9)
+
+
+def pack(values: list[bytes | None]) -> pa.StructArray:
+    """PACKED of each geometry, bit by bit the same after unpack(); other bytes are kept raw.
+
+    Geometries of a layout that repeat coordinates at the same places share one form; a box has six numbers left.
+    """
+    forms: list[bytes] = []
+    which, sizes, found = np.full(len(values), -1), np.zeros(len(values), np.int64), []
+    for rows, layout, block in grouped(values):
+        places = _places(layout)
+        bits = np.ascontiguousarray(block[:, places[:, None] + np.arange(8)]).reshape(len(rows), -1).view("<i8")
+        rest = np.arange(len(rows))
+        while len(rest):
+            same = np.zeros(len(rest), bool)
+            for k in {len(rest) * i // 8 for i in range(8)}:  # some rows repeat a number by chance: the form that most rows have
+                _, at, which_one = np.unique(bits[rest[k]], return_index=True, return_inverse=True)
+                order = np.argsort(at)  # numbers by their first place
+                at, which_one = at[order], np.argsort(order)[which_one]
+                fits = (bits[rest] == bits[rest][:, at][:, which_one]).all(axis=1)
+                if fits.sum() > same.sum():
+                    same, first, number = fits, at, which_one
+                if same.sum() * 2 > len(rest):
+                    break
+            if same.sum() * 16 < len(rest):  # hardly any share one: each coordinate for itself
+                first = number = np.arange(bits.shape[1])
+                same = np.ones(len(rest), bool)
+            mine = rest[same]
+            which[rows[mine]], sizes[rows[mine]] = len(forms), len(first)
+            forms.append(_form(block[mine[0]], places, number))
+            found.append((rows[mine], bits[mine][:, first]))
+            rest = rest[~same]
+    for i in np.flatnonzero(which < 0):
+        if values[i] is not None:
+            which[i] = len(forms)
+            forms.append(_RAW + values[i])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.zeros(ends[-1], np.int64)
+    for rows, numbers in found:
+        flat[ends[rows][:, None] + np.arange(numbers.shape[1])] = numbers
+    missing = pa.array(which < 0)
+    column = pa.array(forms, pa.binary()).take(pa.array(which, mask=which < 0))
+    return pa.StructArray.from_arrays([column, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["form", "numbers"], mask=missing)
+
+
+def unpack(column: pa.StructArray) -> pa.Array:
+    """The geometries behind PACKED."""
+    coded = pc.struct_field(column, "form").dictionary_encode()
+    lists = pc.struct_field(column, "numbers")
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    which = coded.indices.fill_null(-1).to_numpy()
+    out: list[bytes | None] = [None] * len(column)
+    for k, form in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(which == k)
+        if form[:1] == _RAW:
+            for i in rows:
+                out[i] = form[1:]
+            continue
+        text = zlib.decompress(form[1:])
+        n = struct.unpack_from("<I", text)[0]
+        places, number = (np.frombuffer(text, "<u4", n, 4 + 4 * n * j) for j in (0, 1))
+        block = np.tile(np.frombuffer(text, np.uint8, -1, 4 + 8 * n), (len(rows), 1))
+        if n:
+            bits = np.ascontiguousarray(flat[starts[rows][:, None] + number], "<i8")
+            block[:, (places[:, None] + np.arange(8)).ravel()] = bits.view(np.uint8).reshape(len(rows), -1)
+        data, size = block.tobytes(), block.shape[1]
+        for j, i in enumerate(rows.tolist()):
+            out[i] = data[j * size : (j + 1) * size]
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf(PACKED)
+def packed(wkb: pa.Array) -> pa.Array:
+    """PACKED of a geometry; null for null."""
+    return pack(wkb.to_pylist())
+
+
+@F.arrow_udf(T.BinaryType())
+def unpacked(column: pa.Array) -> pa.Array:
+    """The geometry behind PACKED; null for null."""
+    return unpack(column)

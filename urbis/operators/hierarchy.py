@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbis.model import schema
 from urbis.session import checkpointed
 
 
@@ -68,6 +69,38 @@ def subtree(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFr
     raise RecursionError(f"deeper than {max_depth}")
 
 
+def reached(df: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(id) of everything that start reaches over children, start included: subtree() without the pairs of root and id."""
+    lists = df.where(F.size("children") > 0).select("id", "children")
+    seen = level = checkpointed(start.select("id").distinct())
+    for _ in range(max_depth):
+        found = level.join(lists, "id").select(F.explode("children").alias("id")).distinct()
+        level = checkpointed(found.join(seen, "id", "left_anti"))
+        if level.isEmpty():
+            return seen
+        seen = seen.unionByName(level)
+    raise RecursionError(f"deeper than {max_depth}")
+
+
+def unsettled(df: DataFrame) -> DataFrame:
+    """(feature_id) of families that are more than a root and its parts, or whose derived state is not what their rows say.
+
+    Without any, no row changes when feature_id, parents, children and bbox are derived anew: every reference stays in
+    its family and is reciprocal, and the root's box holds its parts' boxes. One grouping, no join. Ids must be unique.
+    """
+    b, none = F.col("bbox"), F.col("children").isNull()
+    root = F.col("id") == F.col("feature_id")
+    right = F.when(root, F.col("parents").isNull() & (none | (F.size("children") > 0))).otherwise((F.col("parents") == F.array("feature_id")) & none)
+    whole = b.isNull() | (sum((b[a].isNull().cast("int") for a in schema.AXES), F.lit(0)) == 0)
+    boxes = [(f(b[a]), F.max(F.when(root, b[a]))) for f, axes in ((F.min, schema.AXES[:3]), (F.max, schema.AXES[3:])) for a in axes]
+    named = [x.alias(f"{k}{i}") for i, pair in enumerate(boxes) for k, x in zip("fr", pair)]
+    families = df.groupBy("feature_id").agg(F.count_if(root).alias("roots"), F.bool_and(F.coalesce(right & whole, F.lit(False))).alias("right"), F.collect_list(F.when(~root, F.col("id"))).alias("parts"), F.flatten(F.collect_list(F.when(root, F.col("children")))).alias("listed"), *named)
+    same = F.array_sort("parts") == F.array_sort("listed")
+    for i in range(len(boxes)):
+        same = same & F.col(f"f{i}").eqNullSafe(F.col(f"r{i}"))
+    return families.where(~F.coalesce((F.col("roots") == 1) & F.col("right") & same, F.lit(False))).select("feature_id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of all nodes of edges (a, b) but the smallest of each connected component, which is the root.
 

@@ -165,10 +165,11 @@ def package_write(spark, sf_dir):
 
 @register("SELECT b.id, b.o_totalprice * 1.0 AS o_totalprice, b.n_children AS n FROM buildings b WHERE o_orderstatus <> 'F' AND id <> (SELECT max(id) FROM buildings WHERE o_orderstatus <> 'F')")
 def dataset_changes(spark, sf_dir):
-    """Ingest of all families, delete by predicate, delete by id, reconcile, compact; all buildings that are left."""
+    """Ingest of all families, delete by predicate, vacuum, delete by id, reconcile, compact, vacuum; all buildings that are left."""
     data = lake.Catalog(spark, _scratch(spark, "lake")).create("city")
     data.ingest(_families(spark, sf_dir), "EPSG:28992")
     data.delete("o_orderstatus = 'F'")
+    data.vacuum()
     last = data.objects().where("object_type = 'Building'").agg(F.max("id")).first()[0]
     data.delete_id(last)
     data.reconcile()
