@@ -11,6 +11,7 @@ from urbis import session
 from urbis.functions import wkb
 from urbis.operators import hierarchy, lake
 from urbis.plans import city_view
+from urbis.sinks import featurejson as writer
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +88,31 @@ def test_unsettled_families(spark, change, odd):
     one = rows.where("object_type = 'BuildingPart'").agg(F.min("id")).first()[0]
     changed = rows.withColumns({c: F.when(F.col("id") == one, F.expr(v)).otherwise(F.col(c)) for c, v in change.items()})
     assert hierarchy.unsettled(changed).count() == odd
+
+
+def test_sequence_in_rounds_and_compressed(spark, tmp_path, monkeypatch):
+    rows = city_view.objects(spark, SF).drop("o_orderdate").withColumn("children", F.array_sort("children"))
+    plain, small = f"{tmp_path}/plain", f"{tmp_path}/small"
+    writer.write_sequence(rows, f"file://{plain}", "EPSG:28992", (0.01, 0.01, 0.01))
+    monkeypatch.setattr(session, "ROUND_ROWS", 2000)
+    writer.write_sequence(rows, f"file://{small}", "EPSG:28992", (0.01, 0.01, 0.01), compression="gzip", rows=rows.count())
+    assert sorted(r[0] for r in spark.read.text(f"file://{small}").collect()) == sorted(r[0] for r in spark.read.text(f"file://{plain}").collect())
+    assert size(small) * 5 < size(plain)
+    assert len({f.split("-", 2)[2] for f in os.listdir(small) if f.startswith("part-")}) == -(-rows.count() // 2000)  # a job each
+
+
+def test_sequence_shuffles_packed_geometries_only(spark):
+    plan = writer.features(city_view.objects(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    exchange = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert "bbox" not in plan[: plan.index(exchange)]
+    names = writer.features(city_view.objects(spark, SF).limit(5)).collect()
+    assert names and all('"geometry"' in r["feature"] or '"Building"' in r["feature"] for r in names)
+
+
+def test_known_layouts_check_headers():
+    one = box(0, 0, 0, 1, 1, 1)
+    assert wkb.known_layout(one) == wkb.known_layout(one) == wkb.read_layout(one)
+    with pytest.raises(wkb.WkbError):
+        wkb.known_layout(b"\0" + one[1:])
+    with pytest.raises(wkb.WkbError):
+        wkb.known_layout(one[:9] + b"\0" + one[10:])
